@@ -203,7 +203,8 @@ def write_warc(rows: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYT
 
 def read_warc(manifest: DataFrame, directory: str, payloads: bool = True) -> DataFrame:
     """The records of the archives that ``manifest`` names, an archive at a time."""
-    spread = manifest.select("path").repartition(F.col("path"))
+    # A stated number of partitions, or adaptive execution would join the few short rows into one task.
+    spread = manifest.select("path").repartition(max(1, manifest.count()))
     return spread.mapInArrow(_reader(directory, payloads), RECORD)
 
 
