@@ -33,11 +33,12 @@ from .common import cut, staged, table
 K = 20
 SAMPLE = 32768
 BRANCH = 8
-#: Sampled vectors in a leaf, at most.
-LEAF = 64
+#: Leaves aimed at, for each square root of the rows, and the least sampled vectors of one.
+SPREAD = 0.25
+LEAF = 16
 #: Queries that calibrate, and the recall that they must reach.
-CALIBRATION = 128
-TARGET = 0.95
+CALIBRATION = 256
+TARGET = 0.93
 #: Vectors, and visits, in a chunk of a leaf.
 CHUNK = 8192
 SEED = 17
@@ -226,9 +227,10 @@ def nearest_neighbours(
     if not dimension:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     bound = max(LEAF, min(SAMPLE, (1 << 25) // dimension))
+    count = valid.count()
     hashed = F.xxhash64(F.lit(SEED), "id")
     rows = valid.orderBy(hashed, "id").limit(bound).select("vector").toArrow().column(0).combine_chunks()
-    tree = Tree(_matrix(rows, dimension))
+    tree = Tree(_matrix(rows, dimension), leaf=max(LEAF, int(len(rows) / (SPREAD * count**0.5))))
     index = staged(_indexed(valid, tree, dimension, kind, k), "ann")
 
     queries = valid.filter(is_query(F.col("id")))
