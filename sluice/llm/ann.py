@@ -265,9 +265,10 @@ def nearest_neighbours(
     )
     keys = ("leaf", "part", "turn")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(dimension, k), "qid long, best array<struct<s: double, id: long>>")
-    best = cut(
-        found.groupBy("qid").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
-    )
+    # Rows that repeat id and vector stand next to each other once sorted.
+    merged = found.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("all"))
+    once = F.expr("filter(`all`, (x, i) -> i = 0 or x.id <> `all`[i - 1].id)")
+    best = cut(merged.select("qid", F.slice(once, 1, k + 1).alias("best")))
     named = cut(distinct.select("vector", "qid"))
     asked_by = queries.select("id", "vector").join(named, "vector").select("id", "qid").distinct()
     own = asked_by.join(best, "qid").select(
