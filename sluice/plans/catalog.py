@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sql.parser import references
 from .engine import Engine
 
 
@@ -20,25 +21,44 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def engine(spark: SparkSession, sf_dir: str, mode: str = "table", lateness: int | None = None, shuffled: bool = False) -> Engine:
+def stamp(column: str):
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
+def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leg = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"))
+    rows = load(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    return rows.groupBy("l_orderkey").agg(F.to_json(F.sort_array(F.collect_list(leg))).alias("legs"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return load(spark, sf_dir, "orders").select(*cols, stamp("o_orderdate").alias("_ts"), F.col("o_orderkey").alias("_seq"))
+
+
+#: Relations of the dialect over the driver's tables, and their JSON columns.
+ADAPTERS = {
+    "ev": (ev, ("props",)),
+    "clicks": (lambda s, d: ev(s, d).filter("event_type = 'click'"), ("props",)),
+    "purchases": (lambda s, d: ev(s, d).filter("event_type = 'purchase'"), ("props",)),
+    "ord": (_orders, ()),
+    "li": (lambda s, d: load(s, d, "lineitem").withColumn("_ts", stamp("l_shipdate")).drop("l_shipdate"), ()),
+    "structures": (_structures, ("legs",)),
+    **{t: (lambda s, d, t=t: load(s, d, t), ()) for t in ("customer", "nation", "region", "supplier", "part")},
+}
+
+
+def engine(spark: SparkSession, sf_dir: str, mode: str = "table", lateness: int | None = None, names=tuple(ADAPTERS), shuffled: bool = False) -> Engine:
+    """An engine with the named relations; a statement's own are enough for it."""
     g = Engine(spark, mode, lateness)
-    rows = ev(spark, sf_dir)
-    if shuffled:
-        rows = rows.withColumn("_seq", F.col("_seq") - F.pmod(F.col("_seq") * 7919, F.lit(97)) * 3)
-    g.register("ev", rows, json=("props",))
-    g.register("clicks", ev(spark, sf_dir).filter("event_type = 'click'"), json=("props",))
-    g.register("purchases", ev(spark, sf_dir).filter("event_type = 'purchase'"), json=("props",))
-    o = load(spark, sf_dir, "orders")
-    stamp = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    g.register("ord", o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", stamp("o_orderdate").alias("_ts"), F.col("o_orderkey").alias("_seq")))
-    l = load(spark, sf_dir, "lineitem")
-    g.register("li", l.withColumn("_ts", stamp("l_shipdate")).drop("l_shipdate"))
-    for t in ("customer", "nation", "region", "supplier", "part"):
-        g.register(t, load(spark, sf_dir, t))
-    legs = l.filter("l_orderkey % 4 = 0").groupBy("l_orderkey").agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"))))).alias("legs")
-    )
-    g.register("structures", legs, json=("legs",))
+    for name in names:
+        if name not in ADAPTERS:
+            continue
+        build, json = ADAPTERS[name]
+        rows = build(spark, sf_dir)
+        if shuffled and name == "ev":
+            rows = rows.withColumn("_seq", F.col("_seq") - F.pmod(F.col("_seq") * 7919, F.lit(97)) * 3)
+        g.register(name, rows, json=json)
     return g
 
 
@@ -158,11 +178,12 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
 
 def dialect_query(name: str):
     mode, sql, _ = DIALECT[name]
-    return lambda spark, sf_dir: engine(spark, sf_dir, mode).query(sql)
+    names = references(sql)
+    return lambda spark, sf_dir: engine(spark, sf_dir, mode, names=names).query(sql)
 
 
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = engine(spark, sf_dir, PIPE, lateness=1000, shuffled=True)
+    g = engine(spark, sf_dir, PIPE, lateness=1000, names=("ev",), shuffled=True)
     return g.query("SELECT event_type, COUNT(*) AS n FROM ev GROUP BY event_type WINDOW TUMBLING(SIZE 24 HOURS)")
 
 
