@@ -64,6 +64,9 @@ def engine(spark: SparkSession, sf_dir: str, mode: str = "table", lateness: int
 
 EV = """ev AS (SELECT event_type, user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS weight, props,
   epoch_us(ts) // 1000 AS _ts, event_id AS _seq FROM events)"""
+#: Errors by user and window, and each event with the end of the latest window that had closed.
+ERRORS = """w AS (SELECT user_id, _ts - _ts % 21600000 + 21600000 AS e, max(weight) AS m FROM ev WHERE event_type = 'error' GROUP BY 1, 2),
+  ends AS (SELECT DISTINCT e FROM w), seen AS (SELECT ev.*, ends.e AS vis FROM ev ASOF LEFT JOIN ends ON ev._ts - 1000 >= ends.e)"""
 TABLE, PIPE = "table", "pipeline"
 
 #: name: (mode, dialect, DuckDB SQL).  Doubles are rounded on both sides: their sums depend on order.
@@ -167,6 +170,14 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
         f"""WITH {EV} SELECT a.user_id, a.value AS av, b.value AS bv, c.value AS cv FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a._ts - b._ts) <= 10800000
         JOIN ev c ON b.user_id = c.user_id AND abs(greatest(a._ts, b._ts) - c._ts) <= 3600000 WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND c.event_type = 'click'"""),
     "self_join": (PIPE, "SELECT a.user_id, b.value FROM clicks a JOIN clicks b WITHIN 30 MINUTES ON a.user_id = b.user_id", f"WITH {EV} SELECT a.user_id, b.value FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a._ts - b._ts) <= 1800000 WHERE a.event_type = 'click' AND b.event_type = 'click'"),
+    "snapshot_in": (PIPE, "SELECT user_id, value FROM ev WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM ev WHERE event_type = 'error' GROUP BY user_id WINDOW TUMBLING(SIZE 6 HOURS))",
+        f"WITH {EV}, {ERRORS} SELECT user_id, value FROM seen s WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM w WHERE w.e = s.vis AND w.user_id = s.user_id)"),
+    "snapshot_not_in": (PIPE, "SELECT user_id, value FROM ev WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' GROUP BY user_id WINDOW TUMBLING(SIZE 6 HOURS))",
+        f"WITH {EV}, {ERRORS} SELECT user_id, value FROM seen s WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM w WHERE w.e = s.vis AND w.user_id = s.user_id)"),
+    "snapshot_exists": (PIPE, "SELECT user_id, value FROM ev WHERE NOT EXISTS (SELECT user_id FROM ev WHERE event_type = 'error' GROUP BY user_id WINDOW TUMBLING(SIZE 6 HOURS))",
+        f"WITH {EV}, {ERRORS} SELECT user_id, value FROM seen WHERE vis IS NULL"),
+    "snapshot_scalar": (PIPE, "SELECT user_id, value, (SELECT MAX(x.weight) AS m FROM ev x WHERE x.event_type = 'error' AND x.user_id = ev.user_id WINDOW TUMBLING(SIZE 6 HOURS)) AS m FROM ev WHERE event_type = 'click'",
+        f"WITH {EV}, {ERRORS} SELECT s.user_id, s.value, w.m FROM seen s LEFT JOIN w ON w.e = s.vis AND w.user_id = s.user_id WHERE s.event_type = 'click'"),
     "fx_fwd": (TABLE, "SELECT o_orderkey, ROUND(FX_FWD(o_totalprice, 0.05, 0.02, 2), 4) AS f FROM ord", "SELECT o_orderkey, round(o_totalprice * exp((0.05 - 0.02) * 2), 4) AS f FROM orders"),
     "irs_npv": (TABLE, "SELECT o_orderkey, ROUND(IRS_NPV(o_totalprice, 0.03, 10, 0.04, TRUE), 3) AS v FROM ord",
         "SELECT o_orderkey, round(o_totalprice * (1 - pow(1 / 1.04, 10)) - o_totalprice * 0.03 * (1 - pow(1 / 1.04, 10)) / 0.04, 3) AS v FROM orders"),

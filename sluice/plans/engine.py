@@ -19,7 +19,7 @@ from ..functions import builtins as B
 from ..functions import quant
 from ..functions.builtins import SPARK, Typed
 from ..functions.registry import Registry
-from ..operators.watermark import drop_late
+from ..operators.watermark import LATENESS, drop_late
 from ..sql.ast import Agg, Bin, Cast, Col, Exists, Fn, If, InQuery, Join, Lit, Path, Scalar, Select, SqlError, Star, Un, Union
 from ..sql.parser import parse, references, split_sink
 
@@ -294,19 +294,49 @@ class Engine:
             w = Working(w.df.filter(B.truth(self.expr(c, w))), w.fields, w.aliases)
         return w
 
+    def visible(self, w: Working, rel: Relation, query: Select) -> DataFrame:
+        """``w`` with ``_vis``: the end of the latest window of ``rel`` with rows that had
+        closed, lateness included, when the row came; null before the first.
+
+        Ends have a row per window, so their order is cheap; rows find their interval
+        between two ends by the cell of time that it covers."""
+        if "window_end" not in rel.df.columns:
+            raise SqlError("A pipeline's subquery needs WINDOW")
+        size = query.window.size if query.window else 3_600_000
+        ends = rel.df.select(F.col("window_end").alias("_e")).distinct()
+        after = F.lead("_e").over(Window.orderBy("_e"))
+        spans = ends.withColumn("_from", F.col("_e") + LATENESS).withColumn("_to", after + LATENESS).filter("_to is not null")
+        cell = lambda t: F.floor(t / size).cast("bigint")
+        cells = spans.withColumn("_c", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to") - 1))))
+        last = F.broadcast(ends.agg(F.max("_e").alias("_last")))  # one row
+        near = (cell(F.col("_ts")) == F.col("_c")) & (F.col("_ts") >= F.col("_from")) & (F.col("_ts") < F.col("_to"))
+        found = w.df.join(cells, near, "left").crossJoin(last)
+        vis = F.coalesce(F.col("_e"), F.when(F.col("_ts") >= F.col("_last") + LATENESS, F.col("_last")))
+        return found.withColumn("_vis", vis).drop("_e", "_from", "_to", "_c", "_last")
+
     def member(self, w: Working, c: InQuery) -> Working:
         rel = self.select(c.query)
         if len(rel.kinds) != 1:
             raise SqlError("An IN subquery has one column")
         name = next(iter(rel.kinds))
         own = self.expr(c.arg, w)
-        inner = rel.df.select(F.col(f"`{name}`").alias("_member")).filter("_member is not null")
+        cols, df = [F.col(f"`{name}`").alias("_member")], w.df
+        if self.mode == "pipeline":
+            df = self.visible(w, rel, c.query)
+            cols.append(F.col("window_end").alias("_end"))
+        inner = rel.df.select(*cols).filter("_member is not null")
         cond = B.compare("=", own, Typed(F.col("_member"), rel.kinds[name])).col
+        if self.mode == "pipeline":
+            cond = cond & (F.col("_vis") == F.col("_end"))
         # NULLs of the subquery are ignored, and a NULL on the outside is in neither.
-        df = w.df.filter(own.col.isNotNull()) if c.negated else w.df
-        return Working(df.join(inner, cond, "left_anti" if c.negated else "left_semi"), w.fields, w.aliases)
+        df = df.filter(own.col.isNotNull()) if c.negated else df
+        return Working(df.join(inner, cond, "left_anti" if c.negated else "left_semi").drop("_vis"), w.fields, w.aliases)
 
     def exists(self, w: Working, c: Exists) -> Working:
+        if self.mode == "pipeline":
+            rel = self.select(c.query)
+            seen = self.visible(w, rel, c.query)
+            return Working(seen.filter(F.col("_vis").isNull() if c.negated else F.col("_vis").isNotNull()).drop("_vis"), w.fields, w.aliases)
         one = self.select(c.query).df.select(F.lit(1).alias("_one")).limit(1)
         count = F.broadcast(one.agg(F.count("*").alias("_n")))  # one row
         df = w.df.crossJoin(count).filter(F.col("_n") == (0 if c.negated else 1)).drop("_n")
@@ -351,17 +381,20 @@ class Engine:
             if [n for n in walk(a) if isinstance(n, Col) and not inner.find(n)]:
                 raise SqlError("A subquery is correlated by equality only")
             keys.append((a, b))
-        rel = self.select(Select(q.items, q.source, q.joins, rest, [a for a, _ in keys] or None), keys=[a for a, _ in keys])
+        rel = self.select(Select(q.items, q.source, q.joins, rest, [a for a, _ in keys] or None, window=q.window), keys=[a for a, _ in keys])
         k = sum(1 for name in w.fields if name[0].startswith("_sub"))
         value, alias = next(iter(rel.kinds)), f"_sub{k}"
-        inner_df = rel.df.select(F.col(f"`{value}`").alias(alias), *[F.col(f"_key{n}").alias(f"{alias}k{n}") for n in range(len(keys))])
+        inner_df = rel.df.select(F.col(f"`{value}`").alias(alias), *[F.col(f"_key{n}").alias(f"{alias}k{n}") for n in range(len(keys))], *([F.col("window_end").alias("_end")] if self.mode == "pipeline" else []))
         how = "inner" if self.mode == "table" else "left"
-        if keys:
-            cond = None
+        if keys or self.mode == "pipeline":
+            cond, outer = None, w.df
+            if self.mode == "pipeline":
+                outer = self.visible(w, rel, q)
+                cond = F.col("_vis") == F.col("_end")
             for n, (_, b) in enumerate(keys):
                 c = self.expr(b, w).col == F.col(f"{alias}k{n}")
                 cond = c if cond is None else cond & c
-            df = w.df.join(inner_df, cond, how)
+            df = outer.join(inner_df, cond, how).drop("_vis", "_end")
         else:
             df = w.df.join(F.broadcast(inner_df), F.lit(True), how)  # a global aggregate: one row at most
         name = Col("value", alias)
