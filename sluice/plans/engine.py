@@ -185,6 +185,8 @@ class Engine:
         for j in q.joins:
             w = self.join(w, j)
         q = self._expand(q, w)
+        for item in q.items:
+            item.expr = self._registered(item.expr)
         w = self.where(w, q.where)
         aggregated = any(isinstance(n, Agg) for i in q.items for n in walk(i.expr))
         grouped = aggregated or q.group_by is not None or q.group_all
@@ -204,6 +206,18 @@ class Engine:
             return self.aggregate(w, q, keys or [])
         return self.project(w, q)
 
+    def _registered(self, x):
+        """Calls of registered aggregates as aggregates."""
+        if isinstance(x, tuple):
+            return tuple(self._registered(y) for y in x)
+        if isinstance(x, Fn) and x.name in self.registry.aggregates:
+            if len(x.args) != 1:
+                raise SqlError(f"{x.name} takes 1 argument", *x.at)
+            return Agg(x.name, x.args[0])
+        if isinstance(x, (Un, Bin, Path, Fn, Cast, If)):
+            return type(x)(**{k: v if k == "at" else self._registered(v) for k, v in ((k, getattr(x, k)) for k in x.__dataclass_fields__)})
+        return x
+
     def _expand(self, q: Select, w: Working) -> Select:
         items, group = [], q.group_by
         for item in q.items:
@@ -504,6 +518,9 @@ class Engine:
         if node.arg is None:
             return (lambda spec: over(F.count("*"), spec)), "long"
         x = self.expr(node.arg, w)
+        own = self.registry.aggregates.get(node.name)
+        if own is not None:
+            return (lambda spec: over(own.build(x.col), spec)), own.kind
         if node.name == "count":
             if node.distinct:
                 return (lambda spec: F.count_distinct(x.col) if spec is None else F.size(F.collect_set(x.col).over(spec)).cast("bigint")), "long"

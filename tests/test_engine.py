@@ -158,3 +158,17 @@ def test_interval_join_is_no_cartesian_product_and_scans_prune(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     plan = catalog.queries()["count_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_registered_functions(spark, trades):
+    from pyspark.sql import functions as F
+
+    from sluice.functions.registry import Aggregate, Scalar
+
+    e = Engine(spark).register("trades", trades)
+    e.registry.register(Scalar("TWICE", (1,), lambda kinds: kinds[0], lambda a: a[0].col * 2))
+    e.registry.register(Aggregate("PRODUCT_OF", "double", lambda c: F.product(c)))
+    assert run(e, "SELECT symbol, PRODUCT_OF(TWICE(price)) AS p FROM trades GROUP BY symbol", "symbol", "p") == [("AAPL", 440.0), ("MSFT", 10.0)]
+    with pytest.raises(ValueError):
+        e.registry.register(Scalar("ABS", (1,), lambda kinds: "long", lambda a: a[0].col))
+    assert "TWICE" in e.registry.names() and "BS_PRICE" in e.registry.names()

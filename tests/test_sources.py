@@ -93,3 +93,22 @@ def test_streaming_latest_by_equals_batch(spark, landing):
     path, schema, tmp = landing
     out = streaming.maintain_latest(streaming.stream(spark, path, schema), ["k"], f"{tmp}/view", f"{tmp}/cp")
     assert sorted((r.k, r._seq) for r in out.collect()) == [("a", 4), ("b", 2)]
+
+
+def test_generators_are_seeded_and_partition_free(spark):
+    from sluice.sources import generators as g
+
+    one = sorted(map(tuple, g.trades(spark, 50).collect()))
+    assert one == sorted(map(tuple, g.trades(spark, 50).repartition(3).collect())) and one != sorted(map(tuple, g.trades(spark, 50, seed=2).collect()))
+    assert all(r.bid < r.ask for r in g.quotes(spark, 50).collect())
+    orders = {}
+    for r in sorted(g.lifecycle(spark, 40).collect(), key=lambda r: (r.order_id, r.stage_rank)):
+        orders.setdefault(r.order_id, []).append(r)
+    for steps in orders.values():
+        assert [s.stage for s in steps][:2] == ["NEW", "ACK"] and steps[-1].stage in ("FILLED", "CANCELED")
+        assert [s.filled_qty for s in steps] == sorted(s.filled_qty for s in steps)
+    rows = g.scenarios(spark, "r", 200, ["a", "b"], 5, rho=1.0).collect()
+    assert len(rows) == 2000 and all(abs(r.shock - r.factor) < 1e-12 for r in rows)
+    assert all(r.value > 0 for r in g.scenarios(spark, "r", 3, ["a"], 4, kind="lognormal").collect())
+    with pytest.raises(ValueError):
+        g.scenarios(spark, "r", 10, ["a"], 10, max_rows=99)
