@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh_path, shuffle_partitions, table
 
@@ -60,13 +61,10 @@ def scatter_shuffle(
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> DataFrame:
     """Writes the shards as folders ``shard=N`` of Parquet files and returns what they hold."""
     scatter_shuffle(docs, shards, **options).write.partitionBy("shard").parquet(path)
-    kind = scatter_schema(docs)
-    return docs.sparkSession.read.schema(kind).parquet(path)
+    return docs.sparkSession.read.schema(shard_schema(docs)).parquet(path)
 
 
-def scatter_schema(docs: DataFrame):
-    from pyspark.sql import types as T
-
+def shard_schema(docs: DataFrame):
     return T.StructType([T.StructField("slot", T.LongType()), T.StructField("record", docs.schema), T.StructField("shard", T.IntegerType())])
 
 
