@@ -38,3 +38,20 @@ def test_stages_against_brute_force(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_an_empty_table_passes_all_stages(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
+    assert docs.count() == 0
+
+
+def test_clashing_columns_pass_the_filters(spark):
+    rows = [(i, f"some words of text number {i % 7} and more of them", 1, 2, 3, 4) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, fp long, component_id long, score long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = staged(stage(spark, docs, SF), name)
+        assert docs.columns == before
+    assert docs.count() == 7
