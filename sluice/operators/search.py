@@ -25,8 +25,8 @@ def similarity(word: Column, query: Column) -> Column:
     return F.greatest(jaccard, edit)
 
 
-def search(rows: DataFrame, text: Column, key: Column, query: str, limit: int = 20, fuzzy: bool = False) -> DataFrame:
-    """``rows`` with ``_score``, best first, ties by key."""
+def search(rows: DataFrame, text: Column, key: Column, query: str, limit: int | None = 20, fuzzy: bool = False) -> DataFrame:
+    """``rows`` with ``_score``, best first, ties by key; without a limit all that match, in no order."""
     low, wanted = F.lower(text), query.lower().split()
     words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     exact = low.contains(query.lower())
@@ -37,4 +37,5 @@ def search(rows: DataFrame, text: Column, key: Column, query: str, limit: int =
     if fuzzy:
         near = F.aggregate(words, F.lit(0.0), lambda m, w: F.greatest(m, similarity(w, F.lit(query.lower()))))
         score = F.coalesce(score, F.when(near >= FUZZY_LEAST, near))
-    return rows.withColumn("_score", score).filter("_score is not null").orderBy(F.desc("_score"), key).limit(limit)
+    found = rows.withColumn("_score", score).filter("_score is not null")
+    return found if limit is None else found.orderBy(F.desc("_score"), key).limit(limit)

@@ -118,6 +118,12 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
         SELECT event_type, (row_number() OVER o)::BIGINT AS n, (sum(weight) OVER o)::BIGINT AS w, ws AS window_start, ws + 21600000 AS window_end, false AS _final FROM w
         WINDOW o AS (PARTITION BY event_type, ws ORDER BY _seq) UNION ALL
         SELECT event_type, count(*), sum(weight)::BIGINT, ws, ws + 21600000, true FROM w GROUP BY event_type, ws"""),
+    "session_changes": (PIPE, "SELECT user_id, COUNT(*) AS n, SUM(weight) AS w FROM ev GROUP BY user_id WINDOW SESSION(GAP 6 HOURS) EMIT CHANGES",
+        f"""WITH {EV}, a AS (SELECT user_id, weight, _ts, _seq, CASE WHEN _ts - lag(_ts) OVER o > 21600000 THEN 1 ELSE 0 END AS cut FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY _ts)),
+        b AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY _ts RANGE UNBOUNDED PRECEDING) AS g FROM a)
+        SELECT user_id, count(*) OVER s AS n, (sum(weight) OVER s)::BIGINT AS w, min(_ts) OVER s AS window_start, max(_ts) OVER s AS window_end, false AS _final
+        FROM b WINDOW s AS (PARTITION BY user_id, g ORDER BY _seq ROWS UNBOUNDED PRECEDING) UNION ALL
+        SELECT user_id, count(*), sum(weight)::BIGINT, min(_ts), max(_ts), true FROM b GROUP BY user_id, g"""),
     "windows_in_windows": (PIPE, """SELECT MAX(n) AS peak, COUNT(*) AS parts FROM (SELECT event_type, COUNT(*) AS n FROM ev GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)) h
         WINDOW TUMBLING(SIZE 1 DAYS)""".replace("1 DAYS", "24 HOURS"),
         f"""WITH {EV}, h AS (SELECT event_type, count(*) AS n, _ts - _ts % 3600000 + 3600000 AS e FROM ev GROUP BY 1, 3)
@@ -182,6 +188,14 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
         "SELECT o_orderkey, round(o_totalprice * (1 - pow(1 / 1.04, 10)) - o_totalprice * 0.03 * (1 - pow(1 / 1.04, 10)) / 0.04, 3) AS v FROM orders"),
     "bond_price": (TABLE, "SELECT o_orderkey, ROUND(BOND_PRICE(o_totalprice, 0.05, 10, 0.04, 2), 3) AS v FROM ord",
         "SELECT o_orderkey, round(o_totalprice * 0.025 * (1 - pow(1 / 1.02, 20)) / 0.02 + o_totalprice * pow(1 / 1.02, 20), 3) AS v FROM orders"),
+    "irs_dv01": (TABLE, "SELECT o_orderkey, ROUND(IRS_DV01(o_totalprice, 0.03, 10, 0.04, TRUE), 3) AS v FROM ord",
+        """WITH p AS (SELECT o_orderkey, o_totalprice AS n, unnest([0.04, 0.0401]::DOUBLE[]) AS y FROM orders),
+        v AS (SELECT o_orderkey, y, n * (1 - pow(1 / (1 + y), 10)) - n * 0.03 * (1 - pow(1 / (1 + y), 10)) / y AS v FROM p)
+        SELECT o_orderkey, round(abs(max(v) FILTER (y > 0.04) - max(v) FILTER (y = 0.04)), 3) AS v FROM v GROUP BY 1"""),
+    "bond_duration": (TABLE, "SELECT o_orderkey, ROUND(BOND_DURATION(o_totalprice, 0.05, 10, 0.04, 2), 6) AS v, ROUND(BOND_DV01(o_totalprice, 0.05, 10, 0.04, 2), 4) AS d FROM ord",
+        """WITH f AS (SELECT o_orderkey, o_totalprice AS n, k, CASE WHEN k = 20 THEN 1.025 ELSE 0.025 END * o_totalprice * pow(1.02, -k) AS pv FROM orders, range(1, 21) t(k)),
+        m AS (SELECT o_orderkey, sum(pv) AS p, sum(pv * k / 2) / sum(pv) / 1.02 AS d FROM f GROUP BY 1) SELECT o_orderkey, round(d, 6) AS v, round(d * p * 0.0001, 4) AS d FROM m"""),
+    **{f"bs_{g}": (TABLE, f"SELECT o_orderkey, BS_{g.upper()}(o_totalprice, 150000.0, 1.0, 0.03, 0.0, 0.2, TRUE) AS v FROM ord", None) for g in ("delta", "gamma", "vega", "theta")},
     "bs_price": (TABLE, "SELECT o_orderkey, BS_PRICE(o_totalprice, 150000.0, 1.0, 0.03, 0.0, 0.2, TRUE) AS v FROM ord", None),
 }
 

@@ -469,17 +469,26 @@ class Engine:
         by = [*names, *bounds]
         if q.window and q.window.kind == "session":
             gap = q.window.size
-            session = F.session_window(F.timestamp_millis("_ts"), f"{gap} milliseconds").alias("_w")
-            final = df.groupBy(*names, session).agg(F.max("_seq").alias("_seq"), *[m(None).alias(c) for c, m in built])
-            final = final.withColumn("_wstart", F.unix_millis("_w.start")).withColumn("_wend", F.unix_millis("_w.end") - gap).drop("_w")
+            if q.emit_changes:
+                # Steps need the session of each row; its number is the count of gaps before it.
+                order = Window.partitionBy(*names).orderBy("_ts")
+                first = F.coalesce(F.col("_ts") - F.lag("_ts").over(order) > gap, F.lit(False))
+                df = df.withColumn("_first", first.cast("bigint"))
+                df = df.withColumn("_session", F.sum("_first").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+                by = [*names, "_session"]
+                ends = [("_wstart", lambda spec: F.min("_ts") if spec is None else F.min("_ts").over(spec)), ("_wend", lambda spec: F.max("_ts") if spec is None else F.max("_ts").over(spec))]
+                built = [*built, *ends]
+                final = df.groupBy(*by).agg(F.max("_seq").alias("_seq"), *[m(None).alias(c) for c, m in built])
+            else:
+                session = F.session_window(F.timestamp_millis("_ts"), f"{gap} milliseconds").alias("_w")
+                final = df.groupBy(*names, session).agg(F.max("_seq").alias("_seq"), *[m(None).alias(c) for c, m in built])
+                final = final.withColumn("_wstart", F.unix_millis("_w.start")).withColumn("_wend", F.unix_millis("_w.end") - gap).drop("_w")
             bounds = ["_wstart", "_wend"]
         else:
             final = df.groupBy(*by).agg(F.count("*").alias("_rows"), F.max("_seq").alias("_seq"), *[m(None).alias(c) for c, m in built])
             if not by:
                 final = final.filter("_rows > 0")
         if q.emit_changes:
-            if q.window.kind == "session":
-                raise SqlError("EMIT CHANGES of sessions isn't replayed")
             over = Window.partitionBy(*by).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
             steps = df.select(*by, "_seq", *[m(over).alias(c) for c, m in built]).withColumn("_final", F.lit(False))
             final = steps.unionByName(final.withColumn("_final", F.lit(True)).drop("_rows"))

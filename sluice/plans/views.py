@@ -74,6 +74,19 @@ def search_exact(spark, sf_dir):
     return search.search(parts, F.col("p_type"), F.col("p_partkey"), "promo", limit=50).select("p_partkey", "p_type")
 
 
+def history_firstn(spark, sf_dir):
+    """The first two versions of a user."""
+    rows = zset.as_deltas(_ev(spark, sf_dir))
+    return zset.history(rows, ["user_id"], "first", 2).select("user_id", F.col("_seq").alias("seq"))
+
+
+def search_fuzzy(spark, sf_dir):
+    """All types near a misspelt word."""
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_type")
+    found = search.search(parts, F.col("p_type"), F.col("p_partkey"), "economi", limit=None, fuzzy=True)
+    return found.select("p_partkey", "p_type", F.round("_score", 6).alias("score"))
+
+
 def upsert_sink(spark, sf_dir):
     """The table that the last delta of each user leaves; errors are deletions."""
     rows = _ev(spark, sf_dir).select("user_id", "event_type", "_seq", F.when(F.col("event_type") == "error", -1).otherwise(1).alias("_weight"))
@@ -136,6 +149,11 @@ VIEWS: dict[str, tuple] = {
     "history_maxby": (history_maxby, f"""WITH {EV} SELECT user_id, _seq AS seq FROM ev QUALIFY {NEWEST} = 1 UNION
         SELECT user_id, _seq FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value * 1000 + _seq / 1e9 DESC) = 1"""),
     "search_exact": (search_exact, "SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%promo%' ORDER BY p_partkey LIMIT 50"),
+    "history_firstn": (history_firstn, f"WITH {EV} SELECT user_id, _seq AS seq FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY _ts, _seq) <= 2"),
+    "search_fuzzy": (search_fuzzy, """WITH t AS (SELECT p_partkey, p_type, lower(p_type) AS w FROM part),
+        g AS (SELECT *, list_distinct([substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)]) AS a, list_distinct([substr('  economi ', i, 3) for i in range(1, 9)]) AS b FROM t),
+        s AS (SELECT *, greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 1 - levenshtein(w, 'economi') / greatest(length(w), 7)) AS s FROM g)
+        SELECT p_partkey, p_type, round(s, 6) AS score FROM s WHERE s >= 0.3"""),
     "upsert_sink": (upsert_sink, f"WITH {EV}, l AS (SELECT user_id, event_type FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY _seq DESC) = 1) SELECT * FROM l WHERE event_type <> 'error'"),
     "cdc_unwrap": (cdc_unwrap, "SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'd' ELSE 'c' END AS op, (CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END)::BIGINT AS w FROM orders"),
     "dedup_by_key": (dedup_by_key, f"WITH {EV} SELECT user_id, event_type, min(_seq) AS seq FROM ev GROUP BY 1, 2"),
