@@ -112,3 +112,46 @@ def test_generators_are_seeded_and_partition_free(spark):
     assert all(r.value > 0 for r in g.scenarios(spark, "r", 3, ["a"], 4, kind="lognormal").collect())
     with pytest.raises(ValueError):
         g.scenarios(spark, "r", 10, ["a"], 10, max_rows=99)
+
+
+@pytest.fixture
+def database(spark, tmp_path):
+    from sluice.sources import jdbc
+
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
+    spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    jdbc.execute(spark, url, ["CREATE TABLE t (k VARCHAR(20), v BIGINT)", "INSERT INTO t VALUES ('a', 1), ('b', 2), ('c', 3), ('d', 3), ('e', 5)"])
+    return url
+
+
+def test_polled_pages_follow_the_cursor(spark, database):
+    from sluice.sources import jdbc
+
+    first = jdbc.poll(spark, database, "V", table="t", page=2)
+    assert sorted(r.V for r in first.rows.collect()) == [1, 2] and first.cursor == 2 and first.has_more
+    again = jdbc.poll(spark, database, "V", first.cursor, table="t", page=10, inclusive=True)
+    assert sorted(r.V for r in again.rows.collect()) == [2, 3, 3, 5] and not again.has_more
+    done = jdbc.poll(spark, database, "V", 5, table="t", page=2)
+    assert done.rows.count() == 0 and done.cursor == 5 and not done.has_more
+    own = jdbc.poll(spark, database, "V", 2, query="SELECT k, v FROM t WHERE v > @cursor AND k <> 'd'")
+    assert sorted(r.K for r in own.rows.collect()) == ["c", "e"]
+    with pytest.raises(ValueError):
+        jdbc.poll(spark, database, "v; DROP TABLE t", table="t")
+
+
+def test_scans_in_ranges_and_appends(spark, database):
+    from sluice.sources import jdbc
+
+    whole = jdbc.scan(spark, database, "t", "V", 3)
+    assert whole.rdd.getNumPartitions() == 3 and sorted(r.K for r in whole.collect()) == list("abcde")
+    jdbc.append(spark.createDataFrame([("z", 9)], "K string, V long"), database, "t")
+    assert jdbc.scan(spark, database, "t").count() == 6
+
+
+def test_upserts_into_a_database(spark, database):
+    from sluice.sources import jdbc
+
+    d = spark.createDataFrame([("a", 7, 1, 1), ("b", 2, -1, 2), ("c", 4, -1, 3), ("c", 8, 1, 4), (None, 9, 1, 5), ("n", 1, 1, 6)], "k string, v long, _weight long, _seq long")
+    jdbc.upsert(d, database, "t", ["k"])
+    assert sorted(map(tuple, jdbc.scan(spark, database, "t").collect())) == [("a", 7), ("c", 8), ("d", 3), ("e", 5), ("n", 1)]
