@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -100,26 +101,110 @@ def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 SOH = "\x01"
-
-
-def parse_fix(message: str) -> dict[str, str] | None:
-    """Tag to value of a tag=value message delimited by SOH, | or ^; without tag 35 it is none."""
-    delimiter = next((d for d in (SOH, "|", "^") if d in message), SOH)
-    pairs = [p.partition("=") for p in message.strip().split(delimiter) if "=" in p]
-    out: dict[str, str] = {}
-    for tag, _, value in pairs:
-        out.setdefault(tag.strip(), value)
-    return out if "35" in out else None
+# Fixed values of the tag=value format: the tags that count a group's entries and the group's name,
+# the tags that give the length of the tag after them, and the tags that only end a message.
+GROUPS = {
+    "73": "Orders", "78": "Allocs", "136": "MiscFees", "146": "RelatedSym", "215": "RoutingIDs", "232": "Stipulations",
+    "267": "MDEntryTypes", "268": "MDEntries", "295": "QuoteEntries", "296": "QuoteSets", "382": "ContraBrokers", "384": "MsgTypes",
+    "386": "TradingSessions", "428": "Strikes", "453": "PartyIDs", "454": "SecurityAltID", "518": "ContAmts", "534": "AffectedOrders",
+    "539": "NestedPartyIDs", "552": "Sides", "555": "Legs", "683": "LegStipulations", "702": "Positions", "711": "Underlyings",
+    "768": "TrdRegTimestamps", "862": "Capacities", "864": "Events", "870": "InstrAttrib", "957": "StrategyParameters",
+}
+LENGTHS = {"90": "91", "95": "96", "212": "213", "350": "351", "354": "355", "358": "359", "360": "361", "362": "363", "364": "365"}
+TRAILER = ("93", "89", "10")
+
+
+def fix_messages(line: str) -> list[str]:
+    """The messages in a line of a log; what stands before the first is skipped."""
+    first = re.split(r"\b10=", line, maxsplit=1)[0]
+    delimiter = max((SOH, "|", "^"), key=first.count)
+    starts = [m.start() for m in re.finditer(rf"(?:(?<=^)|(?<={re.escape(delimiter)})|(?<=[\r\n]))8=", line)]
+    if not starts and line.find("8=") >= 0:
+        starts = [line.find("8=")]
+    return [line[a:b].rstrip("\r\n ") for a, b in zip(starts, [*starts[1:], len(line)])]
+
+
+def fix_fields(message: str) -> list[tuple[str, str]] | None:
+    """Tags and values in order; None if a field is malformed.  A value whose length the tag before it
+    gives may hold delimiters."""
+    delimiter = max((SOH, "|", "^"), key=re.split(r"\b10=", message, maxsplit=1)[0].count)
+    fields: list[tuple[str, str]] = []
+    at = 0
+    while at < len(message):
+        tag, found, _ = message[at:].partition("=")
+        if message[at] == delimiter:
+            at += 1
+            continue
+        if not found or not re.fullmatch("[0-9]*[1-9][0-9]*", tag):
+            return None
+        start = at + len(tag) + 1
+        end = message.find(delimiter, start)
+        if fields and LENGTHS.get(fields[-1][0]) == tag and re.fullmatch("[0-9]+", fields[-1][1]):
+            end = min(start + int(fields[-1][1]), len(message))
+        end = len(message) if end < 0 else end
+        fields.append((tag, message[start:end]))
+        at = end + 1 if message[end : end + 1] == delimiter else end
+    return fields
+
+
+class _Groups:
+    """Nests repeating groups without a dictionary of messages.
+
+    The tag after a count heads each entry.  The first entry goes on to a tag that it has already, so
+    the last group of a level may take in what follows it; its tags bound the other entries.  The trailer ends any group, and a count that is too small ends it early."""
+
+    def __init__(self, fields: list[tuple[str, str]]):
+        self.fields, self.at = fields, 0
+
+    def next_tag(self) -> str | None:
+        return self.fields[self.at][0] if self.at < len(self.fields) else None
+
+    def take(self, into: dict) -> None:
+        tag, value = self.fields[self.at]
+        self.at += 1
+        if tag in GROUPS and re.fullmatch("[0-9]+", value):
+            into[GROUPS[tag]] = self.group(int(value))
+        else:
+            into[tag] = value
+
+    def group(self, count: int) -> list[dict]:
+        entries: list[dict] = []
+        head, known = self.next_tag(), None
+        while len(entries) < count and head not in (None, *TRAILER) and self.next_tag() == head:
+            entry, seen = {}, set()
+            while (tag := self.next_tag()) not in (None, *TRAILER):
+                ends = tag in seen if known is None else tag not in known or (tag == head and bool(seen))
+                if ends:
+                    break
+                seen.add(tag)
+                self.take(entry)
+            known = known or seen
+            entries.append(entry)
+        return entries
+
+
+def parse_fix(message: str) -> dict | None:
+    """Tag to value of a message delimited by SOH, | or ^, groups as lists under their names; the last of
+    repeated tags counts.  Malformed text and text without tag 35 are none."""
+    fields = fix_fields(message.strip())
+    if fields is None or not any(tag == "35" for tag, _ in fields):
+        return None
+    reader, out = _Groups(fields), {}
+    while reader.next_tag() is not None:
+        reader.take(out)
+    return out
 
 
 def read_fix(lines: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """Columns named by ``tags`` (tag to name) from a ``value`` column of messages."""
+    """A row per message in a ``value`` column of lines: columns named by ``tags`` (tag or group to
+    name), groups as JSON text."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in tags.values()])
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     def run(frames):
         for frame in frames:
-            rows = [m for m in (parse_fix(x) for x in frame["value"] if x is not None) if m is not None]
-            yield pd.DataFrame([{n: m.get(t) for t, n in tags.items()} for m in rows], columns=list(tags.values()))
+            found = (parse_fix(m) for x in frame["value"] if x is not None for m in fix_messages(x))
+            yield pd.DataFrame([{n: text(m.get(t)) for t, n in tags.items()} for m in found if m is not None], columns=list(tags.values()))
 
     return lines.select("value").mapInPandas(run, schema)
 

@@ -12,6 +12,22 @@ def append_file(df: DataFrame, path: str, kind: str = "json") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
+def write_sharded(df: DataFrame, path: str, by: list[str], shards: int) -> None:
+    """Files in folders ``_shard=N``: all rows of a key stand in one shard."""
+    owner = F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
+    df.withColumn("_shard", owner).write.partitionBy("_shard").mode("overwrite").parquet(path)
+
+
+def read_shard(spark, path: str, key: dict, shards: int) -> DataFrame:
+    """The rows of one key; reads its shard only.  ``key`` maps columns to values of the columns' own types."""
+    rows = spark.read.parquet(path)
+    typed = [F.lit(v).cast(rows.schema[c].dataType) for c, v in key.items()]
+    out = rows.filter(F.col("_shard") == F.pmod(F.xxhash64(*typed), F.lit(shards)).cast("int"))
+    for (c, _), v in zip(key.items(), typed):
+        out = out.filter(F.col(c).eqNullSafe(v))
+    return out.drop("_shard")
+
+
 def upsert_plan(deltas: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows to write and keys to delete: per key the last delta of the batch counts; null keys are skipped.
 

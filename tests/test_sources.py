@@ -155,3 +155,83 @@ def test_upserts_into_a_database(spark, database):
     d = spark.createDataFrame([("a", 7, 1, 1), ("b", 2, -1, 2), ("c", 4, -1, 3), ("c", 8, 1, 4), (None, 9, 1, 5), ("n", 1, 1, 6)], "k string, v long, _weight long, _seq long")
     jdbc.upsert(d, database, "t", ["k"])
     assert sorted(map(tuple, jdbc.scan(spark, database, "t").collect())) == [("a", 7), ("c", 8), ("d", 3), ("e", 5), ("n", 1)]
+
+
+def test_repeating_groups_nest():
+    nested = formats.parse_fix("8=FIX.4.4|35=X|268=2|269=0|270=1.5|453=1|448=p|447=D|269=1|270=2|55=A|10=000|")
+    assert nested["MDEntries"] == [{"269": "0", "270": "1.5", "PartyIDs": [{"448": "p", "447": "D", "269": "1", "270": "2", "55": "A"}]}] and nested["10"] == "000"
+    bound = formats.parse_fix("8=FIX.4.4|35=X|268=2|269=0|453=2|448=p|447=D|448=q|447=E|269=1|447=z|55=A|10=000|")
+    assert bound["MDEntries"] == [{"269": "0", "PartyIDs": [{"448": "p", "447": "D"}, {"448": "q", "447": "E"}]}, {"269": "1"}] and bound["447"] == "z"
+    flat = formats.parse_fix("8=F|35=D|555=2|600=a|601=1|600=b|55=A|58=x|58=y")
+    assert flat["Legs"] == [{"600": "a", "601": "1"}, {"600": "b"}] and flat["55"] == "A" and flat["58"] == "y"
+    one = formats.parse_fix("8=F^35=D^73=1^11=o^10=1")
+    assert one["Orders"] == [{"11": "o"}] and one["10"] == "1"
+    assert formats.parse_fix("8=F|35=D|73=0|11=o")["Orders"] == [] and formats.parse_fix("8=F|35=D|73=x|11=o")["73"] == "x"
+    assert formats.parse_fix("8=F|35=D|73=5|11=a|11=b")["Orders"] == [{"11": "a"}, {"11": "b"}]
+
+
+def test_raw_data_may_hold_delimiters():
+    assert formats.parse_fix("8=F|35=B|95=5|96=a|b=c|10=1") == {"8": "F", "35": "B", "95": "5", "96": "a|b=c", "10": "1"}
+    assert formats.parse_fix("8=F|35=B|95=5|58=t") == {"8": "F", "35": "B", "95": "5", "58": "t"}
+    assert formats.parse_fix("8=F|35=B||58=a=b|") == {"8": "F", "35": "B", "58": "a=b"}
+    assert formats.parse_fix("8=F|35=B|x=1") is None and formats.parse_fix("8=F|55=A") is None and formats.parse_fix("") is None
+
+
+def test_logs_hold_several_messages_a_line(spark):
+    lines = spark.createDataFrame([("12:00 IN\r8=F|35=D|55=A|10=1|8=F|35=8|55=B|73=1|11=o|10=2",), ("",)], "value string")
+    rows = formats.read_fix(lines, {"35": "kind", "55": "symbol", "Orders": "orders"}).collect()
+    assert [tuple(r) for r in rows] == [("D", "A", None), ("8", "B", '[{"11": "o"}]')]
+
+
+def test_shards_own_their_keys(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(100)], "k long, v long")
+    sinks.write_sharded(df, f"{tmp_path}/s", ["k"], 4)
+    for k in (3, None):
+        got = sinks.read_shard(spark, f"{tmp_path}/s", {"k": k}, 4)
+        assert sorted(r.v for r in got.collect()) == [i for i in range(100) if (i % 7 if i % 5 else None) == k]
+    assert "PartitionFilters: [isnotnull(_shard" in sinks.read_shard(spark, f"{tmp_path}/s", {"k": 3}, 4)._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        posted, failures = [], [1]
+
+        def do_GET(self):
+            body = {"/array": b'[{"a": 1}, {"a": 2}]', "/lines": b'{"a": 3}\n\n{"a": 4}\n'}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def do_POST(self):
+            data = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            fail = bool(self.failures) and self.failures.pop()
+            if not fail:
+                self.posted.append([e["v"] for e in data["events"]])
+            self.send_response(503 if fail else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", Handler
+    s.shutdown()
+
+
+def test_http_source_and_sink(spark, server):
+    from sluice.sources import http
+
+    at, handler = server
+    got = http.fetch(spark, [f"{at}/array", f"{at}/lines", f"{at}/none"])
+    assert sorted(json.loads(r.j)["a"] for r in http.items(got).collect()) == [1, 2, 3, 4]
+    assert [r.error for r in got.filter("value is null").collect()] == ["HTTPError: HTTP Error 404: Not Found"]
+    assert "ValueError" in http.fetch(spark, [f"{at}/array"], largest=3).first().error
+    sent = http.post(spark.range(5).withColumnRenamed("id", "v").coalesce(1), at, batch=2, wait=0.01).collect()
+    assert [tuple(r) for r in sent] == [(5, 0)] and sorted(sum(handler.posted, [])) == list(range(5)) and len(handler.posted) == 3
+    handler.failures.extend([1, 1])
+    assert [tuple(r) for r in http.post(spark.range(1), at, tries=2, wait=0.01).filter("sent + failed > 0").collect()] == [(0, 1)]
