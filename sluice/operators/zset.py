@@ -49,6 +49,21 @@ def snapshot(deltas: DataFrame) -> DataFrame:
     return net(deltas).filter(F.col(W) > 0).drop(W)
 
 
+def attach(state: DataFrame, epoch: int, changes: DataFrame) -> DataFrame:
+    """What a late reader sees: the state as of ``epoch`` as asserts, then the changes (``_epoch``) after it."""
+    base = state.withColumn(W, F.lit(1).cast("bigint"))
+    return base.unionByName(changes.filter(F.col("_epoch") > epoch).drop("_epoch"))
+
+
+def supersede(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that a reader of keyed deltas (``_seq``) holds: per key the last assert, unless the key's
+    net weight is gone."""
+    row = F.struct(*[c for c in columns(deltas) if c != "_seq"])
+    last = F.max_by(row, F.when(F.col(W) > 0, F.col("_seq")))
+    held = deltas.groupBy(*[F.col(f"`{k}`").alias(f"_key_{k}") for k in keys]).agg(F.sum(W).alias("_net"), last.alias("r"))
+    return held.filter("_net > 0 and r is not null").select("r.*")
+
+
 def bag(deltas: DataFrame) -> DataFrame:
     """The visible rows, each as often as it weighs."""
     visible = net(deltas).filter(F.col(W) > 0)

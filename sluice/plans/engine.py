@@ -11,6 +11,7 @@ Every relation has ``_ts`` (epoch milliseconds), ``_source`` and ``_seq`` (arriv
 from __future__ import annotations
 
 from dataclasses import dataclass
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..functions import quant
 from ..functions.builtins import SPARK, Typed
 from ..functions.registry import Registry
 from ..operators.watermark import LATENESS, drop_late
-from ..sql.ast import Agg, Bin, Cast, Col, Exists, Fn, If, InQuery, Join, Lit, Path, Scalar, Select, SqlError, Star, Un, Union
+from ..sql.ast import Agg, Bin, Cast, Col, Exists, Fn, If, InQuery, Item, Join, Lit, Path, Scalar, Select, SqlError, Star, Un, Union
 from ..sql.parser import parse, references, split_sink
 
 META = ("_ts", "_source", "_seq")
@@ -120,6 +121,32 @@ class Engine:
             return [error]
         return []
 
+    def create_all(self, views: dict[str, str]) -> "Engine":
+        """Views that may name each other, in an order in which each finds what it names."""
+        needs = {name: [r for r in references(split_sink(sql)[1]) if r in views] for name, sql in views.items()}
+        try:
+            order = list(TopologicalSorter(needs).static_order())
+        except CycleError as error:
+            raise ValueError(f"views name each other in a circle: {' -> '.join(error.args[1])}") from None
+        for name in order:
+            self.create(name, views[name])
+        return self
+
+    @staticmethod
+    def identity(sql: str) -> list[str] | None:
+        """The output columns that tell a statement's rows apart: those of its GROUP BY or LATEST BY
+        keys.  None stands for the whole row, also where a key isn't projected."""
+        statement = parse(split_sink(sql)[1])
+        if isinstance(statement, Union):
+            return None
+        shown = [(i.expr, i.alias or default_name(i.expr, k)) for k, i in enumerate(statement.items) if isinstance(i, Item)]
+        every = [x for x, _ in shown if not any(isinstance(n, Agg) for n in walk(x))] if statement.group_all else None
+        keys = every or statement.group_by or statement.latest_by
+        if not keys:
+            return None
+        out = [next((name for x, name in shown if x == key), None) for key in keys]
+        return None if None in out else out
+
     def lineage(self, sql: str) -> list[str]:
         return [r for r in references(sql) if r in self.relations]
 

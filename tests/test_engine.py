@@ -172,3 +172,21 @@ def test_registered_functions(spark, trades):
     with pytest.raises(ValueError):
         e.registry.register(Scalar("ABS", (1,), lambda kinds: "long", lambda a: a[0].col))
     assert "TWICE" in e.registry.names() and "BS_PRICE" in e.registry.names()
+
+
+def test_views_in_any_order_and_row_identity(spark, trades):
+    e = Engine(spark).register("trades", trades)
+    e.create_all({"b": "SELECT n FROM a WHERE n > 1", "a": "SELECT symbol, COUNT(*) AS n FROM trades GROUP BY symbol"})
+    assert run(e, "SELECT n FROM b", "n") == [(2,)]
+    with pytest.raises(ValueError, match="circle"):
+        e.create_all({"x": "SELECT n FROM y", "y": "SELECT n FROM x"})
+    assert Engine.identity("SELECT symbol AS s, COUNT(*) AS n FROM trades GROUP BY symbol") == ["s"]
+    assert Engine.identity("SELECT symbol, qty, COUNT(*) AS n FROM trades GROUP BY ALL") == ["symbol", "qty"]
+    assert Engine.identity("SELECT price FROM trades LATEST BY symbol") is None and Engine.identity("SELECT price FROM trades") is None
+
+
+def test_changes_of_sessions(spark):
+    e = Engine(spark, "pipeline").register("t", spark.createDataFrame([(0, 1), (5000, 2), (20000, 3)], "_ts long, _seq long"))
+    sql = "SELECT COUNT(*) AS n FROM t WINDOW SESSION(GAP 5 SECONDS) EMIT CHANGES"
+    want = [(0, 0, 1, False), (0, 5000, 2, False), (0, 5000, 2, True), (20000, 20000, 1, False), (20000, 20000, 1, True)]
+    assert run(e, sql, "window_start", "window_end", "n", "_final") == want

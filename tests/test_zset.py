@@ -74,3 +74,15 @@ def test_search(spark):
     rows = spark.createDataFrame([(1, "red apple pie"), (2, "green apples"), (3, "blue plum")], "id long, t string")
     ids = lambda q, **k: [r.id for r in search.search(rows, F.col("t"), F.col("id"), q, **k).collect()]
     assert ids("apple") == [1, 2] and ids("pie red") == [1] and ids("aple") == [] and set(ids("aple", fuzzy=True)) == {1, 2}
+
+
+def test_late_readers_start_from_a_state(spark):
+    state = spark.createDataFrame([("a", 1)], "k string, v long")
+    changes = spark.createDataFrame([("a", 1, -1, 6), ("b", 2, 1, 6), ("c", 3, 1, 5)], "k string, v long, _weight long, _epoch long")
+    assert [tuple(r) for r in zset.snapshot(zset.attach(state, 5, changes)).collect()] == [("b", 2)]
+
+
+def test_keyed_readers_hold_the_last_assert(spark):
+    rows = [("a", 1, 1, 1), ("a", 1, -1, 2), ("a", 2, 1, 3), ("b", 5, 1, 4), ("b", 5, -1, 5), ("c", 7, 1, 6)]
+    deltas = spark.createDataFrame(rows, "k string, v long, _weight long, _seq long")
+    assert sorted(tuple(r) for r in zset.supersede(deltas, ["k"]).collect()) == [("a", 2), ("c", 7)]
