@@ -69,25 +69,35 @@ class Terms:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.known: dict[str, int] = {}
+        self.without: set[str] = set()
 
     def _learn(self, word: str) -> int:
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) + len(self.without) >= REMEMBERED:
             self.known.clear()
+            self.without.clear()
         found = min((self.number[t] for t in terms_of_word(word) if t in self.number), default=-1)
         if len(word) <= 64:
-            self.known[word] = found
+            if found < 0:
+                self.without.add(word)
+            else:
+                self.known[word] = found
         return found
 
     def count(self, text: str | None) -> dict[int, int]:
         """How often each term stands in a text; a word is the first term, in the space's order, that fits it."""
-        counts: dict[int, int] = {}
-        known, learn = self.known, self._learn
-        for word, n in Counter(words_of(text)).items():
-            found = known.get(word)
+        words = words_of(text)
+        hits: dict[str, int] = {}
+        # Most words are known to have no term; a set difference leaves the others.
+        for word in set(words).difference(self.without):
+            found = self.known.get(word)
             if found is None:
-                found = learn(word)
+                found = self._learn(word)
             if found >= 0:
-                counts[found] = counts.get(found, 0) + n
+                hits[word] = found
+        counts: dict[int, int] = {}
+        if hits:
+            for word, n in Counter(filter(hits.__contains__, words)).items():
+                counts[hits[word]] = counts.get(hits[word], 0) + n
         return counts
 
 
