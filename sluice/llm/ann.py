@@ -8,9 +8,9 @@ calibrated: for a bounded set of queries the true neighbours over all rows are
 found by brute force, and visits widen until their recall reaches ``TARGET``.
 
 Leaves meet the queries that visit them in chunks of both sides, so neither a
-full leaf nor a popular one is held by a task.  Equal vectors stand in one row
-with the smallest ids that can be among a query's nearest, and equal queries are
-searched once.  Scores are inner products of the original vectors in double precision.
+full leaf nor a popular one is held by a task.  Equal vectors of the whole table
+stand in one row with the smallest ids that can be among a query's nearest, before
+anything is sampled, calibrated or searched, and equal queries are searched once.  Scores are inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those of another length than most (of equally
@@ -129,9 +129,9 @@ def _valid(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, in
     return found.filter(F.size("vector") == dimension), dimension
 
 
-def _indexed(rows: DataFrame, tree: Tree, dimension: int, kind: str, k: int) -> DataFrame:
-    """``leaf, vector, ids``: equal vectors of a batch are one row with the k + 1 smallest ids."""
-    box = rows.sparkSession.sparkContext.broadcast(tree)
+def _distinct(rows: DataFrame, dimension: int, kind: str, k: int) -> DataFrame:
+    """``vector, ids``: a row per vector of the whole table with its k + 1 smallest ids.
+    Batches merge what they repeat, so a common vector sends its group a short list per batch."""
 
     def run(batches):
         for batch in batches:
@@ -145,10 +145,23 @@ def _indexed(rows: DataFrame, tree: Tree, dimension: int, kind: str, k: int) ->
                 groups.setdefault(x[at].tobytes(), []).append(at)
             first = np.array([g[0] for g in groups.values()])
             own = [list(dict.fromkeys(ids[g].tolist()))[: k + 1] for g in groups.values()]
-            vectors = batch.column(1).take(pa.array(first))
-            yield pa.RecordBatch.from_arrays([pa.array(box.value.assign(x[first])), vectors, pa.array(own, pa.list_(pa.int64()))], names=["leaf", "vector", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(first)), pa.array(own, pa.list_(pa.int64()))], names=["vector", "ids"])
+
+    merged = rows.select("id", "vector").mapInArrow(run, f"vector {kind}, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return merged.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids"))
+
+
+def _indexed(rows: DataFrame, tree: Tree, dimension: int, kind: str) -> DataFrame:
+    """``leaf, vector, ids``."""
+    box = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaves = box.value.assign(_matrix(batch.column(0), dimension))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), batch.column(0), batch.column(1)], names=["leaf", "vector", "ids"])
 
-    return rows.select("id", "vector").mapInArrow(run, f"leaf int, vector {kind}, ids array<long>")
+    return rows.select("vector", "ids").mapInArrow(run, f"leaf int, vector {kind}, ids array<long>")
 
 
 def _calibrated(index: DataFrame, queries: list[tuple[int, np.ndarray]], tree: Tree, dimension: int, k: int, target: float) -> int:
@@ -227,11 +240,12 @@ def nearest_neighbours(
     if not dimension:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     bound = max(LEAF, min(SAMPLE, (1 << 25) // dimension))
-    count = valid.count()
-    hashed = F.xxhash64(F.lit(SEED), "id")
-    rows = valid.orderBy(hashed, "id").limit(bound).select("vector").toArrow().column(0).combine_chunks()
+    held = staged(_distinct(valid, dimension, kind, k), "vectors")
+    count = held.count()
+    hashed = (F.xxhash64(F.lit(SEED), x) for x in (F.col("ids")[0], "vector"))
+    rows = held.orderBy(*hashed).limit(bound).select("vector").toArrow().column(0).combine_chunks()
     tree = Tree(_matrix(rows, dimension), leaf=max(LEAF, int(len(rows) / (SPREAD * count**0.5))))
-    index = staged(_indexed(valid, tree, dimension, kind, k), "ann")
+    index = staged(_indexed(held, tree, dimension, kind), "ann")
 
     queries = valid.filter(is_query(F.col("id")))
     distinct = cut(queries.groupBy("vector").agg(F.min("id").alias("qid")))
@@ -249,9 +263,9 @@ def nearest_neighbours(
     walked = staged(distinct.select("qid", "vector").mapInArrow(walk, f"qid long, vector {kind}, leaves array<int>"), "visits")
     stops = walked.select("qid", "vector", F.explode("leaves").alias("leaf"))
     # Both tables have a row per leaf at most, and the tree's size is bounded.
-    held = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    filled = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     asked = stops.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("turns"))
-    chunks = cut(held.join(F.broadcast(asked), "leaf"))
+    chunks = cut(filled.join(F.broadcast(asked), "leaf"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
         index.join(F.broadcast(chunks), "leaf")
@@ -265,10 +279,9 @@ def nearest_neighbours(
     )
     keys = ("leaf", "part", "turn")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(dimension, k), "qid long, best array<struct<s: double, id: long>>")
-    # Rows that repeat id and vector stand next to each other once sorted.
+    # A vector stands in one chunk, so the chunks' neighbours are different rows.
     merged = found.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("all"))
-    once = F.expr("filter(`all`, (x, i) -> i = 0 or x.id <> `all`[i - 1].id)")
-    best = cut(merged.select("qid", F.slice(once, 1, k + 1).alias("best")))
+    best = cut(merged.select("qid", F.slice("all", 1, k + 1).alias("best")))
     named = cut(distinct.select("vector", "qid"))
     asked_by = queries.select("id", "vector").join(named, "vector").select("id", "qid").distinct()
     own = asked_by.join(best, "qid").select(

@@ -170,6 +170,25 @@ def test_ann_with_few_or_no_vectors(spark):
     assert [(r["rank"], r.vec_id) for r in ann.nearest_neighbours(few, lambda i: i % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_ann_rows_repeated_over_partitions_hold_one_place(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8))
+    x[1], x[2] = 3 * x[0], -0.0 * x[0]
+    x[2][0] = 4 * np.abs(x).max() * np.sign(x[0][0])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # Every one of 30 partitions holds the rows 1 and 2; the zeros of row 2 have either sign.
+    dealt = [[*rows[n::30], rows[1], (2, [abs(v) if n % 2 and not v else v for v in rows[2][1]])] for n in range(30)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(dealt, 30).flatMap(list), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0, target=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 200, 20))
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [i for _, i in sorted(found)] == np.argsort(-score)[:20].tolist()
+
+
 def test_chat_rotation(spark):
     talk = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, "x"), (1, 2, None, "x"), (None, None, "z", "lone"), *[(2, i, "ab"[i % 2], f"t{i}") for i in range(200)]]
     df = spark.createDataFrame([(*t, 0, "") for t in talk], "conv_id long, turn long, role string, text string, start long, rendered string")
