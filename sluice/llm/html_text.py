@@ -4,10 +4,11 @@ A page becomes its text blocks in order, each with the tag path from the root to
 its block element (inline markup is not a level).  For every path the length of
 its text outside links and its punctuation are aggregated and divided by its
 blocks; both ratios are smoothed along the page, fused by multiplication and
-cut at half their standard deviation.  The paths above name the content nodes;
-the deepest element that holds nearly all of their text is the article, and the
-blocks of the article are the result: a short paragraph stays because the path it
-shares, or the article it lies in, is content.  Elements whose tag, role or
+cut at half their standard deviation.  The paths above name the content nodes,
+and these only locate the article: it is the article or main element around them,
+or else the deepest element that holds all of them, and its wrappers as long as no
+block of links stands in them.  All blocks of the article are
+the result, whatever their own ratios.  Elements whose tag, role or
 class says menu, header, footer, sidebar, notice, advert, form or comments are
 no candidates.
 
@@ -58,6 +59,7 @@ NOT_CONTENT_NAMES = WORDS(
 CONTENT_TAGS = WORDS("article main")
 CONTENT_NAMES = WORDS("article content post entry story main text body")
 HEADINGS = WORDS("h1 h2 h3 h4 h5 h6")
+PAGE = WORDS("body html #root")
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,8 +71,6 @@ ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
-#: Share of the content nodes' text that the article holds.
-HOLDS = 0.8
 #: Weights of a block's neighbours in smoothing.
 SMOOTH = np.array([0.25, 0.5, 0.25])
 #: Ratios of blocks inside an article or main element count so many times.
@@ -78,20 +78,34 @@ DECLARED = 4.0
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "excluded", "declared", "depth")
+    __slots__ = ("tag", "parent", "path", "excluded", "article", "main", "depth")
 
     def __init__(self, tag: str, parent: "Element | None", names: frozenset[str], role: str, hidden: bool):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         level = tag if tag in HEADINGS or not names or tag not in ("div", "section", "td") else tag + "." + ".".join(sorted(names))
         self.path = (parent.path if parent else ()) if tag in INLINE else (*(parent.path if parent else ()), level)
-        inside = parent is not None and parent.declared
+        inside = parent is not None and parent.declared is not None
         root = tag in ("html", "body") or tag in CONTENT_TAGS
-        self.declared = inside or tag in CONTENT_TAGS or role in ("main", "article")
+        # The outermost article and main elements around.
+        self.article = parent.article if parent and parent.article else self if "article" in (tag, role) else None
+        self.main = parent.main if parent and parent.main else self if "main" in (tag, role) else None
         no = tag in NOT_CONTENT_TAGS or hidden or role in NOT_CONTENT_ROLES or (tag == "header" and not inside)
         named = bool(names & NOT_CONTENT_NAMES) and not root and tag not in INLINE | HEADINGS | {"p", "header"}
         self.excluded = (parent is not None and parent.excluded) or no or named
 
+    @property
+    def declared(self) -> "Element | None":
+        """The element that says it is the article, if this lies in one."""
+        return self.article or self.main
+
+    def common(self, other: "Element") -> "Element":
+        """The deepest element that holds both."""
+        a, b = self, other
+        while a is not b:
+            a, b = (a.parent, b) if a.depth > b.depth else (a, b.parent) if b.depth > a.depth else (a.parent, b.parent)
+        return a
+
 
 class Block:
     __slots__ = ("element", "text", "linked")
@@ -205,6 +219,33 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _of_links(b: Block) -> bool:
+    return 2 * b.linked > len("".join(b.text.split()))
+
+
+def article_of(chosen: list[Block], found: list[Block]) -> Element:
+    """The article around the content nodes."""
+    own = [b for b in chosen if b.element.declared]
+    if 2 * sum(len(b.text) for b in own) >= sum(len(b.text) for b in chosen):
+        chosen = own
+        if len({id(b.element.declared) for b in own}) == 1:
+            return own[0].element.declared
+    # The deepest element that holds all content nodes.
+    article = chosen[0].element
+    for b in chosen:
+        article = article.common(b.element)
+    # A single paragraph's or list's holder is not yet the article.
+    while article.parent is not None and article.tag in HEADINGS | {"p", "li", "ul", "ol", "dl", "blockquote", "pre", "td", "tr", "tbody", "table"}:
+        article = article.parent
+    if article.declared:
+        return article.declared
+    # What stands beside it in one wrapper belongs to it, unless links are there: they are the page's.
+    links = max((e.depth for e in (article.common(b.element) for b in found if _of_links(b)) if e is not article), default=-1)
+    while article.tag not in PAGE and article.parent.tag not in PAGE and article.parent.depth > links:
+        article = article.parent
+    return article
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The content among the blocks of a page."""
     found = [b for b in blocks if not b.element.excluded]
@@ -227,35 +268,20 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     mean = {p: sum(x) / len(x) for p, x in score.items()}
     least = 0.5 * float(fused.std())
     chosen = [b for b in found if mean[b.element.path] >= least and mean[b.element.path] > 0] or found
-    # The deepest element that holds nearly all content text.
-    held: dict[int, list] = {}
-    total = sum(len(b.text) for b in chosen)
-    for b in chosen:
-        e = b.element
-        while e is not None:
-            entry = held.setdefault(id(e), [e, 0])
-            entry[1] += len(b.text)
-            e = e.parent
-    article = max((e for e, n in held.values() if n >= HOLDS * total), key=lambda e: e.depth)
-    # A single paragraph's or list's holder is not yet the article.
-    while article.parent is not None and article.tag in HEADINGS | {"p", "li", "ul", "ol", "dl", "blockquote", "pre", "td", "tr", "tbody", "table"}:
-        article = article.parent
-
-    def inside(b: Block) -> bool:
-        e = b.element
-        while e is not None and e is not article:
-            e = e.parent
-        return e is article
-
-    kept = [b for b in found if inside(b)]
-    if article.tag in ("body", "html", "#root"):
+    article = article_of(chosen, found)
+    at = [k for k, b in enumerate(found) if b.element.common(article) is article]
+    # The title may stand right before the article.
+    while at[0] > 0 and found[at[0]].element.tag not in HEADINGS and found[at[0] - 1].element.tag in HEADINGS:
+        at.insert(0, at[0] - 1)
+    kept = [found[k] for k in at]
+    if article.tag in PAGE:
         # Nothing wraps the article: what content paths span, without blocks of links.
         picked = {id(b) for b in chosen}
         span = [k for k, b in enumerate(kept) if id(b) in picked]
         low, high = span[0], span[-1]
         while low > 0 and kept[low - 1].element.tag in HEADINGS:
             low -= 1
-        kept = [b for b in kept[low : high + 1] if id(b) in picked or 2 * b.linked <= len("".join(b.text.split()))]
+        kept = [b for b in kept[low : high + 1] if id(b) in picked or not _of_links(b)]
     return kept
 
 

@@ -87,6 +87,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A long sentence, with commas, and a stop. " * 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1>T</h1><section><p>{LONG}</p></section><section><p>Short.</p></section></article>", f"T {LONG} Short."),
+        (f"<article><h1>T</h1><div class='lead'>Lead</div><div class='body'>{LONG}</div></article>", f"T Lead {LONG}"),
+        (f"<main><h1>T</h1><article><div><p>{LONG}</p></div><p>End.</p></article></main>", f"T {LONG} End."),
+        (f"<main><article><p>One.</p></article><article><p>{LONG}</p></article><p>{LONG}</p></main>", f"One. {LONG} {LONG}"),
+        (f"<body><div class='x'><div class='a'><p>{LONG}</p></div><p>Between.</p><div class='b'><p>{LONG[:126]}</p></div></div><div>no</div></body>", f"{LONG} Between. {LONG[:126]}"),
+        (f"<body><div><p><a href='/'>no</a></p><div class='x'><h1>T</h1><div class='lead'>Lead</div><div class='y'>{LONG}</div></div></div></body>", f"T Lead {LONG}"),
+        (f"<body><h2>no</h2><p>{LONG}</p><article><h1>T</h1><div><p>{LONG * 2}</p></div><p>End.</p></article></body>", f"T {LONG * 2} End."),
+    ],
+)
+def test_main_text_is_the_whole_article(page, text):
+    assert html_text.main_text(page) == " ".join(text.split())
+
+
 def test_main_text_without_an_article_element():
     words = "Long sentences, with commas and stops. " * 5
     page = f'<body><div><a href="/">home</a> <a href="/b">b</a></div><div class="x"><p>{words}</p><p>Short.</p></div><div class="sidebar"><p>{words}</p></div></body>'
