@@ -10,7 +10,10 @@ or else the deepest element that holds all of them, and its wrappers as long as
 block of links stands in them.  All blocks of the article are
 the result, whatever their own ratios.  Elements whose tag, role or
 class says menu, header, footer, sidebar, notice, advert, form or comments are
-no candidates.
+no candidates.  A class that only may say so (it has a content name too, or is a
+word of texts as well, as in ``related-work``) leaves the element to the ratios: it
+is content if its text outside blocks of links and blocks without punctuation
+outweighs the rest.  A name that is negated (``no-comments``) says nothing.
 
 Defined results: null and empty pages have the empty text; so has a page with
 boilerplate only; what is cut off inside a tag or comment is dropped; unclosed and
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,12 @@ NOT_CONTENT_NAMES = WORDS(
     "breadcrumb breadcrumbs header masthead footer foot bottom comment comments reply replies disqus respond newsletter subscribe subscription "
     "signup login form popup modal overlay pagination pager paging toolbar copyright legal disclaimer"
 )
+# Those that are words of articles too, or of parts of them.
+AMBIGUOUS_NAMES = WORDS(
+    "side bottom foot header form legal notice notices alert banner related recommended share sharing social reply replies copyright disclaimer "
+    "consent promotion promotions subscription"
+)
+NEGATIONS = WORDS("no not non without with has have hide hidden")
 CONTENT_TAGS = WORDS("article main")
 CONTENT_NAMES = WORDS("article content post entry story main text body")
 HEADINGS = WORDS("h1 h2 h3 h4 h5 h6")
@@ -77,10 +87,33 @@ SMOOTH = np.array([0.25, 0.5, 0.25])
 DECLARED = 4.0
 
 
+@lru_cache(4096)
+def names_say(said: tuple[tuple[str, ...], ...], inside: bool) -> str:
+    """Whether the names of an element, each in its parts, exclude it: "no", "doubt" or nothing."""
+    sure = doubt = content = False
+    for parts in said:
+        parts = parts[: next((k for k, x in enumerate(parts) if x in NEGATIONS), len(parts))]
+        pairs = [a + b in NOT_CONTENT_NAMES for a, b in zip(parts, parts[1:])]
+        hits = [x for x in parts if x in NOT_CONTENT_NAMES]
+        if not hits and not any(pairs):
+            content = content or any(x in CONTENT_NAMES for x in parts)
+        elif parts[-1] in NOT_CONTENT_NAMES - AMBIGUOUS_NAMES or (pairs and pairs[-1]):
+            sure = True  # The last part is the noun: post-comments are comments.
+        elif any(x in CONTENT_NAMES for x in parts):
+            doubt = True
+        elif any(pairs) or any(x not in AMBIGUOUS_NAMES for x in hits):
+            sure = True
+        elif inside or len(hits) < len(parts):
+            doubt = True
+        else:
+            sure = True
+    return "" if not (sure or doubt) else "no" if sure and not content else "doubt"
+
+
 class Element:
-    __slots__ = ("tag", "parent", "path", "excluded", "article", "main", "depth")
+    __slots__ = ("tag", "parent", "path", "excluded", "named", "doubts", "article", "main", "depth")
 
-    def __init__(self, tag: str, parent: "Element | None", names: frozenset[str], role: str, hidden: bool):
+    def __init__(self, tag: str, parent: "Element | None", names: frozenset[str], role: str, hidden: bool, said: tuple = ()):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         level = tag if tag in HEADINGS or not names or tag not in ("div", "section", "td") else tag + "." + ".".join(sorted(names))
@@ -91,8 +124,12 @@ class Element:
         self.article = parent.article if parent and parent.article else self if "article" in (tag, role) else None
         self.main = parent.main if parent and parent.main else self if "main" in (tag, role) else None
         no = tag in NOT_CONTENT_TAGS or hidden or role in NOT_CONTENT_ROLES or (tag == "header" and not inside)
-        named = bool(names & NOT_CONTENT_NAMES) and not root and tag not in INLINE | HEADINGS | {"p", "header"}
-        self.excluded = (parent is not None and parent.excluded) or no or named
+        says = "" if root or tag in INLINE | HEADINGS | {"p", "header"} else names_say(said, inside)
+        # No name above a main element excludes it.
+        apart = parent is None or "main" in (tag, role)
+        self.named = says == "no" or (not apart and parent.named)
+        self.excluded = no or (parent is not None and parent.excluded)
+        self.doubts = (() if apart else parent.doubts) + ((self,) if says == "doubt" else ())
 
     @property
     def declared(self) -> "Element | None":
@@ -115,13 +152,13 @@ class Block:
 
 
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
-    names: set[str] = set()
+    said: list[tuple[str, ...]] = []
     role, hidden = "", False
     if attrs.strip(" /\t\r\n"):
         for key, *values in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
-                names.update(x.lower() for x in NAME_PARTS.findall(value))
+                said += [tuple(x.lower() for x in NAME_PARTS.findall(name)) for name in value.split()]
             elif key == "role":
                 role = value.strip().lower()
             elif key == "aria-hidden":
@@ -129,7 +166,7 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
             elif key == "style":
                 hidden = hidden or re.search(r"display\s*:\s*none", value) is not None
         hidden = hidden or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)) is not None
-    return Element(tag, parent, frozenset(names), role, hidden)
+    return Element(tag, parent, frozenset(x for parts in said for x in parts), role, hidden, tuple(said))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -248,7 +285,15 @@ def article_of(chosen: list[Block], found: list[Block]) -> Element:
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The content among the blocks of a page."""
-    found = [b for b in blocks if not b.element.excluded]
+    found = [b for b in blocks if not (b.element.excluded or b.element.named)]
+    # Elements in doubt: text of prose less other text, headings apart.
+    prose: dict[int, int] = {}
+    for b in found:
+        if b.element.doubts and b.element.tag not in HEADINGS:
+            n = len(b.text) if PUNCTUATION.search(b.text) and not _of_links(b) else -len(b.text)
+            for e in b.element.doubts:
+                prose[id(e)] = prose.get(id(e), 0) + n
+    found = [b for b in found if all(prose.get(id(e), 0) >= 0 for e in b.element.doubts)]
     if not found:
         return []
     paths: dict[tuple, list[float]] = {}

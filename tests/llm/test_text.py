@@ -106,6 +106,26 @@ def test_main_text_is_the_whole_article(page, text):
     assert html_text.main_text(page) == " ".join(text.split())
 
 
+LINKS = "<ul><li><a href='/a'>One more, please.</a></li><li><a href='/b'>Two</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='content with-sidebar'><h1>T</h1><p>{LONG}</p></div>", f"T {LONG}"),
+        ("<main><div class='post no-comments'><p>Short.</p></div></main>", "Short."),
+        (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>Others did it.</p></section></article>", f"{LONG} Related work Others did it."),
+        (f"<article><div class='post-header'><h1>T</h1></div><p>{LONG}</p><section id='legal'><p>Law, too.</p></section></article>", f"T {LONG} Law, too."),
+        (f"<div class='layout-sidebar'><div class='nav'>{LINKS}</div><main><p>{LONG}</p></main></div>", LONG),
+        (f"<article><p>{LONG}</p><div class='related-posts'><h3>no</h3>{LINKS}</div><div class='share'>Share on X</div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='post-comments'><p>Bad, bad.</p></div><div id='side-bar'>{LONG}</div><div class='post related'>{LINKS}</div></article>", LONG),
+        (f"<div class='sidebar'><p>{LONG}</p></div><div id='comments-list' class='wide'>{LONG}</div>", ""),
+    ],
+)
+def test_names_exclude_only_what_they_name(page, text):
+    assert html_text.main_text(page) == " ".join(text.split())
+
+
 def test_main_text_without_an_article_element():
     words = "Long sentences, with commas and stops. " * 5
     page = f'<body><div><a href="/">home</a> <a href="/b">b</a></div><div class="x"><p>{words}</p><p>Short.</p></div><div class="sidebar"><p>{words}</p></div></body>'
