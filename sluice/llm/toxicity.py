@@ -39,9 +39,9 @@ from .common import staged, table
 
 #: Examples per class: the bound of what is learned from.
 EXAMPLES = 2048
-#: Terms of the space, at most, and the least chi-squared of one (chance passes one term in a million).
+#: Terms of the space, at most, and the least chi-squared of one (chance passes one term in a thousand).
 TERMS = 4096
-CHI_SQUARED = 24.0
+CHI_SQUARED = 11.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64

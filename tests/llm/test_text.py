@@ -175,6 +175,12 @@ def test_toxicity_finds_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.0}
 
 
+def test_rare_toxic_words_are_terms(spark):
+    # Three of 100 toxic examples hold the word and none of 500 others: chi-squared 15.
+    rows = [(int(i < 100), "rarevile" if i < 3 else "word") for i in range(600)]
+    assert "rarevile" in toxicity._select_terms(spark.createDataFrame(rows, "y int, text string"))
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 16))
