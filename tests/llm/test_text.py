@@ -215,6 +215,18 @@ def test_ann_with_few_or_no_vectors(spark):
     assert [(r["rank"], r.vec_id) for r in ann.nearest_neighbours(few, lambda i: i % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_ann_default_recall_on_calibrating_queries(spark):
+    # All 200 queries calibrate, so the recall they were promised is the recall they get.
+    x = np.random.default_rng(11).normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, lambda i: i % 20 == 0).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    want = {q: set(np.argsort(-score[q])[:20].tolist()) for q in range(0, 4000, 20)}
+    hits = sum(r.vec_id in want[r.query_id] for r in got)
+    assert hits >= 0.95 * 20 * 200, hits / 4000
+
+
 def test_ann_rows_repeated_over_partitions_hold_one_place(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 8))
