@@ -1,21 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of the labelled rows, ``EXAMPLES`` per class, taken in
-the order of a seeded hash.  Terms are words and their prefixes of 4 to 6
-characters (inflected forms share them).  The space is that of the terms that a
-chi-squared test on the examples associates with a class; in the full space the
-thousands of neutral words of a long text drown the few that decide.  Document
-frequencies for the TF-IDF weights are counted over all documents.
+the order of a seeded hash.  Terms are words, and the space is that of all words of the
+examples: none is left out, however rare.  Document frequencies for the TF-IDF weights
+are counted over all documents.  A weight is TF-IDF times the term's association with the labels, ``chi / (chi +
+HALF)`` by its chi-squared: plain TF-IDF lets the hundreds of neutral words of a long text
+drown the few that decide (README has the figures of both).
 
 The ``NEIGHBOURS`` nearest examples by cosine are found exactly with a block-max
 inverted index: examples stand in blocks, a term's postings carry the largest
-weight in each block, blocks are visited from the largest bound down, and the
-search ends at the first bound that can't reach the worst neighbour.  Votes are
-weighted by distance and by how the classes were sampled, and calibrated by
-isotonic regression on the examples' own leave-one-out votes.  The neighbours
-are the evidence.  Every text has one neutral term of fixed weight, for all its
-words outside the space: a single weak hit leaves a text near the texts without
-any.
+weight in each block, the blocks with the largest bounds are scored first, and of
+the others only those whose bound reaches the worst neighbour so far.  Votes are
+weighted by distance and by how the classes were sampled.  They are calibrated by isotonic regression on the votes of
+examples that took no part: for each of ``PARTS`` parts of the examples the associations and the index come from the others.
+The neighbours are the evidence.
 
 Defined results: null texts are empty; labels that are null or other than 0 and 1 are
 not used; of several labels of a document the largest counts; without examples
@@ -25,9 +23,8 @@ neighbours go to the smaller id; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -39,24 +36,18 @@ from .common import staged, table
 
 #: Examples per class: the bound of what is learned from.
 EXAMPLES = 2048
-#: Terms of the space, at most, and the least chi-squared of one (chance passes one term in a thousand).
-TERMS = 4096
-CHI_SQUARED = 11.0
-PREFIXES = (4, 5, 6)
+#: The chi-squared at which a term has half its weight; chance gives 1 on average.
+HALF = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored before the others are held against a bound.
+EAGER = 6
+#: Parts of the examples in calibration.
+PARTS = 4
 SEED = 7
-#: The term that every text has, and its weight: one for all words outside the space.
-NEUTRAL, NEUTRAL_WEIGHT = -1, 4.0
-#: Words whose terms a process remembers.
-REMEMBERED = 500_000
 FOLDS = 5
 WORD = re.compile(r"\w+")
-
-
-def terms_of_word(word: str) -> list[str]:
-    """A word, and its prefixes marked so that they differ from words."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+EVIDENCE = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())])))])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,94 +55,92 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Terms:
-    """Counts the terms of a space in a text."""
+    """Numbers of the terms in a text and how often they stand there."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, int] = {}
-        self.without: set[str] = set()
-
-    def _learn(self, word: str) -> int:
-        if len(self.known) + len(self.without) >= REMEMBERED:
-            self.known.clear()
-            self.without.clear()
-        found = min((self.number[t] for t in terms_of_word(word) if t in self.number), default=-1)
-        if len(word) <= 64:
-            if found < 0:
-                self.without.add(word)
-            else:
-                self.known[word] = found
-        return found
-
-    def count(self, text: str | None) -> dict[int, int]:
-        """How often each term stands in a text; a word is the first term, in the space's order, that fits it."""
-        words = words_of(text)
-        hits: dict[str, int] = {}
-        # Most words are known to have no term; a set difference leaves the others.
-        for word in set(words).difference(self.without):
-            found = self.known.get(word)
-            if found is None:
-                found = self._learn(word)
-            if found >= 0:
-                hits[word] = found
-        counts: dict[int, int] = {}
-        if hits:
-            for word, n in Counter(filter(hits.__contains__, words)).items():
-                counts[hits[word]] = counts.get(hits[word], 0) + n
-        return counts
-
-
-def unit_vector(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    weights = {t: (1 + math.log(n)) * float(idf[t]) for t, n in counts.items()} | {NEUTRAL: NEUTRAL_WEIGHT}
-    norm = math.sqrt(sum(w * w for w in weights.values()))
-    return {t: w / norm for t, w in weights.items()}
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = Counter(words_of(text))
+        own = [(n, counts[t]) for t in counts.keys() & self.number.keys() for n in (self.number[t],)]
+        own.sort()
+        return np.array([n for n, _ in own], np.int64), np.array([c for _, c in own], np.int64)
+
+
+def association(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Of each term ``chi / (chi + HALF)``; ``rows`` and ``terms`` say which term stands in which example."""
+    n, ones = len(labels), int(labels.sum())
+    zeros = n - ones
+    a = np.bincount(terms, labels[rows], n_terms)
+    b = np.bincount(terms, 1 - labels[rows], n_terms)
+    odd = a * (zeros - b) - b * (ones - a)
+    under = (a + b) * (n - a - b) * ones * zeros
+    chi = np.divide(odd * odd * n, under, out=np.zeros(n_terms), where=under > 0)
+    return chi / (chi + HALF)
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class BlockMaxIndex:
-    """Exact top-k inner products over sparse vectors."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        # Vectors with the same strongest terms stand together, which tightens the bounds.
-        self.order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
-        self.block = block
-        self.count = -(-len(vectors) // block)
-        weights: dict[int, dict[int, np.ndarray]] = {}
-        for place, i in enumerate(self.order):
-            b, at = divmod(place, block)
-            for t, w in vectors[i].items():
-                weights.setdefault(t, {}).setdefault(b, np.zeros(block))[at] = w
-        self.postings = weights
-        self.most = {t: (np.array(list(of)), np.array([x.max() for x in of.values()])) for t, of in weights.items()}
-        self.numbers = np.full(self.count * block, -1)
-        self.numbers[: len(self.order)] = self.order
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+    """Exact top-k inner products over sparse vectors, given as row, term and positive weight of each entry."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int, block: int = BLOCK):
+        keep = weights > 0
+        rows, terms, weights = rows[keep], terms[keep], weights[keep]
+        # Vectors with the same strongest term stand together, which tightens the bounds.
+        order = np.lexsort((terms, -weights, rows))
+        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0]) if len(rows) else np.zeros(0, np.int64)
+        strongest, height = np.full(n_rows, n_terms), np.zeros(n_rows)
+        strongest[rows[order][first]], height[rows[order][first]] = terms[order][first], weights[order][first]
+        self.numbers = np.lexsort((np.arange(n_rows), -height, strongest))
+        place = np.empty(n_rows, np.int64)
+        place[self.numbers] = np.arange(n_rows)
+        self.n_rows, self.blocks = n_rows, -(-n_rows // block)
+        at = place[rows]
+        order = np.lexsort((at, terms))
+        self.at, self.weight = at[order].astype(np.int32), weights[order]
+        terms, blocks = terms[order], self.at // block
+        # Runs of postings of one term in one block.
+        start = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(blocks) != 0)]) if len(terms) else np.zeros(0, np.int64)
+        self.start, self.length = start, np.diff(np.r_[start, len(terms)])
+        self.block = blocks[start]
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        # A term's runs, by term.
+        self.runs = np.searchsorted(terms[start], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """``(product, number)`` of the k largest positive products, largest first, ties to the smaller number."""
-        bound = np.zeros(self.count)
-        terms = [(t, w) for t, w in query.items() if t in self.most]
-        for t, w in terms:
-            where, most = self.most[t]
-            bound[where] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[0][0] - 1e-12):
-                break
-            products = np.zeros(self.block)
-            for t, w in terms:
-                row = self.postings[t].get(b)
-                if row is not None:
-                    products += w * row
-            least = best[0][0] if len(best) == k else 0.0
-            for at in np.flatnonzero(products >= max(least, 1e-300)).tolist():
-                number = int(self.numbers[b * self.block + at])
-                entry = (float(products[at]), -number)
-                if number == skip or number < 0:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(p, -n) for p, n in sorted(best, reverse=True)]
+        counts = self.runs[terms + 1] - self.runs[terms]
+        runs, query = ranges(self.runs[terms], counts), np.repeat(weights, counts)
+        if not len(runs):
+            return []
+        blocks = self.block[runs]
+        bound = np.bincount(blocks, query * self.most[runs], self.blocks)
+        products = np.zeros(self.n_rows)
+
+        def score(which: np.ndarray) -> None:
+            nonlocal products
+            mine = which[blocks]
+            own, lengths = runs[mine], self.length[runs[mine]]
+            entries = ranges(self.start[own], lengths)
+            products += np.bincount(self.at[entries], np.repeat(query[mine], lengths) * self.weight[entries], self.n_rows)
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:EAGER]] = True
+        score(first)
+        least = np.partition(products, -k)[-k] if self.n_rows >= k else 0.0
+        rest = ~first & (bound > 0) & (bound >= least * (1 - 1e-9))
+        if rest.any():
+            score(rest)
+            least = np.partition(products, -k)[-k] if self.n_rows >= k else 0.0
+        found = np.flatnonzero(products >= least) if least > 0 else np.flatnonzero(products > 0)
+        numbers = self.numbers[found]
+        best = np.lexsort((numbers, -products[found]))[:k]
+        return list(zip(products[found][best].tolist(), numbers[best].tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,127 +161,104 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return knots, values
 
 
-class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], weight: dict[int, float]):
-        """examples: id, label, counts; weight: rows per example of each class."""
-        self.terms, self.idf = Terms(terms), idf
-        vectors = [(i, y, unit_vector(c, idf)) for i, y, c in sorted(examples, key=lambda e: e[0])]
-        # Of equal vectors only the smallest ids can be among the nearest; one more for leaving one out.
-        alike: Counter = Counter()
-        full = []
-        for v in vectors:
-            key = tuple(sorted(v[2].items()))
-            alike[key] += 1
-            if alike[key] <= NEIGHBOURS + 1:
-                full.append(v)
-        self.ids = [i for i, _, _ in full]
-        # Equal examples share a label rate and stand for each other in votes.
-        sums: dict[tuple, list[float]] = {}
-        for _, y, v in vectors:
-            entry = sums.setdefault(tuple(sorted(v.items())), [0.0, 0.0, 0])
-            entry[0] += weight[y] * y
-            entry[1] += weight[y]
-            entry[2] += 1
-        own = [sums[tuple(sorted(v.items()))] for _, _, v in full]
-        self.labels = np.array([y for _, y, _ in full], dtype=float)
-        self.weights = np.array([weight[y] for _, y, _ in full], dtype=float)
-        self.shared = np.array([a / b if n > NEIGHBOURS + 1 else y for (a, b, n), y in zip(own, self.labels)])
-        self.index = BlockMaxIndex([v for _, _, v in full])
-        total = sum(weight[y] for _, y, _ in vectors)
-        self.prior = sum(weight[y] * y for _, y, _ in vectors) / total if total else 0.0
-        self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.bare = None
-        if len(full) > 1:
-            votes = np.array([self._vote(self.index.nearest(v, NEIGHBOURS, skip=n)) for n, (_, _, v) in enumerate(full)])
-            # An example that stands for more than itself counts as all of them, by their rate.
-            stands = np.array([b / min(n, NEIGHBOURS + 1) for a, b, n in own])
-            rates = np.array([a / b for a, b, n in own])
-            heavy = np.array([n > NEIGHBOURS + 1 for a, b, n in own])
-            self.knots, self.values = isotonic(votes, np.where(heavy, rates, self.labels), np.where(heavy, stands, self.weights))
-
-    def _vote(self, found: list[tuple[float, int]]) -> float:
+class Neighbours:
+    """Votes of the nearest among some examples."""
+
+    def __init__(self, idf: np.ndarray, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.ndarray):
+        self.labels, self.weights = labels.astype(float), weights
+        total = weights.sum()
+        self.prior = float((weights * labels).sum() / total) if total else 0.0
+        self.factor = idf * association(rows, terms, labels, len(idf)) if len(labels) else np.zeros(len(idf))
+        size = (1 + np.log(counts)) * self.factor[terms]
+        norm = np.sqrt(np.bincount(rows, size * size, len(labels)))
+        self.index = BlockMaxIndex(rows, terms, np.divide(size, norm[rows], out=np.zeros(len(size)), where=size > 0), len(labels), len(idf))
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, int]]:
+        size = (1 + np.log(counts)) * self.factor[terms]
+        some = size > 0
+        if not some.any():
+            return []
+        size = size[some]
+        return self.index.nearest(terms[some], size / np.sqrt((size * size).sum()), NEIGHBOURS)
+
+    def vote(self, found: list[tuple[float, int]]) -> float:
         total, agree = 1e-3, 1e-3 * self.prior
         for product, n in found:
             w = self.weights[n] / (1e-2 + max(0.0, 1.0 - product))
             total += w
-            agree += w * self.shared[n]
+            agree += w * self.labels[n]
         return agree / total
 
+
+class Model:
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, codes: np.ndarray, counts: np.ndarray, rows_of: dict[int, float]):
+        """Examples in the order of their ids; ``codes`` and ``counts`` of example i stand from ``starts[i]`` to ``starts[i + 1]``.
+        ``rows_of``: rows of the table per example of each class."""
+        self.terms, self.ids = Terms(terms), ids
+        lengths = np.diff(starts)
+        weights = np.array([rows_of[y] for y in labels.tolist()], dtype=float)
+        rows = np.repeat(np.arange(len(ids)), lengths)
+        part = np.array([zlib.crc32(str(i).encode()) // FOLDS % PARTS for i in ids.tolist()])
+        votes = np.zeros(len(ids))
+        for p in range(PARTS):
+            others = part != p
+            if not others.any():
+                continue
+            number = np.cumsum(others) - 1
+            theirs = others[rows]
+            model = Neighbours(idf, number[rows[theirs]], codes[theirs], counts[theirs], labels[others], weights[others])
+            for i in np.flatnonzero(~others).tolist():
+                own = slice(starts[i], starts[i + 1])
+                votes[i] = model.vote(model.nearest(codes[own], counts[own]))
+        self.knots, self.values = isotonic(votes, labels, weights) if len(ids) else (np.array([0.0, 1.0]), np.array([0.0, 0.0]))
+        self.neighbours = Neighbours(idf, rows, codes, counts, labels, weights)
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        counts = self.terms.count(text)
-        if not counts and self.bare is not None:
-            return self.bare
-        found = self.index.nearest(unit_vector(counts, self.idf), NEIGHBOURS)
-        vote = float(np.interp(self._vote(found), self.knots, self.values))
-        out = min(1.0, max(0.0, vote)), [(p, self.ids[n]) for p, n in found]
-        if not counts:
-            self.bare = out
-        return out
+        found = self.neighbours.nearest(*self.terms.count(text))
+        vote = float(np.interp(self.neighbours.vote(found), self.knots, self.values))
+        return min(1.0, max(0.0, vote)), [(min(1.0, p), int(self.ids[n])) for p, n in found]
 
 
 def held_out(key: Column, folds: int = FOLDS) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds == 0
 
 
-def _select_terms(examples: DataFrame) -> list[str]:
-    """The terms that the examples associate with a class: at most TERMS."""
+def _counted(examples: DataFrame) -> pa.Table:
+    """``id, y, terms, counts`` of the examples, by id."""
 
     def run(batches):
         for batch in batches:
-            terms, toxic = [], []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {t for w in set(words_of(text)) for t in terms_of_word(w)}
-                terms += own
-                toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int32())], names=["term", "y"])
-
-    sums = examples.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
-    n, ones = sums["n"], sums["y"] or 0
-    if not 0 < ones < n:
-        return []
-    zeros = n - ones
-    a, b = F.col("ones"), F.col("zeros")
-    odd = a * (zeros - b) - b * (ones - a)
-    counted = (
-        examples.select("y", "text")
-        .mapInArrow(run, "term string, y int")
-        .groupBy("term")
-        .agg(F.sum("y").cast("double").alias("ones"), F.sum(1 - F.col("y")).cast("double").alias("zeros"))
-        .filter(a + b > 2)
-        .withColumn("chi", odd * odd * n / ((a + b) * (n - a - b) * ones * zeros))
-        .filter(F.col("chi") >= CHI_SQUARED)
-    )
-    return [r["term"] for r in counted.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+            own = [Counter(words_of(t)) for t in batch.column(2).to_pylist()]
+            arrays = [pa.array([list(c.keys()) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "y", "terms", "counts"])
+
+    return examples.select("id", "y", "text").mapInArrow(run, "id long, y int, terms array<string>, counts array<long>").toArrow().sort_by("id")
 
 
 def _document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tuple[np.ndarray, int]:
     """Over all rows: in how many each term stands, and the rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        space, df, rows = Terms(terms), np.zeros(len(terms), np.int64), 0
+        number, found, rows = {t: i for i, t in enumerate(shared.value)}, Counter(), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                for t in space.count(text):
-                    df[t] += 1
-        found = np.flatnonzero(df)
-        numbers, counts = np.r_[found, -1], np.r_[df[found], rows]
+                found.update(number.keys() & set(words_of(text)))
+        numbers, counts = [*(number[t] for t in found), -1], [*found.values(), rows]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], names=["term", "n"])
 
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = slim.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(len(terms)), 0
-    for r in counted:
-        if r["term"] < 0:
-            rows = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, rows
+    counted = slim.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    numbers, counts = (counted.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(len(terms))
+    df[numbers[numbers >= 0]] = counts[numbers >= 0]
+    return df, int(counts[numbers < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = FOLDS) -> Model:
-    """Learns from rows that aren't held out.  What comes to the driver is bounded by
-    EXAMPLES and TERMS; document frequencies are summed over all of ``docs``."""
+    """Learns from rows that aren't held out.  What comes to the driver are the words of at most
+    EXAMPLES texts a class; document frequencies are summed over all of ``docs``."""
     spark = docs.sparkSession
     known = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -307,34 +273,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = spark.createDataFrame([(r["id"], r["y"]) for s in sample for r in s.collect()], "id long, y int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.first("y").alias("y"), F.max("text").alias("text"))
-    examples = staged(joined, "examples")
-    terms = _select_terms(examples)
+    found = _counted(staged(joined, "examples"))
+    words = found.column("terms").combine_chunks()
+    coded = pa.array(words.flatten()).dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
+    terms = coded.dictionary.to_pylist()
     df, rows = _document_frequencies(docs, text_col, terms)
     idf = np.log((1 + rows) / (1 + df)) + 1
-
-    def vectors(batches):
-        space = Terms(terms)
-        for batch in batches:
-            counts = [space.count(t) for t in batch.column(2).to_pylist()]
-            arrays = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "y", "terms", "counts"])
-
-    found = examples.select("id", "y", "text").mapInArrow(vectors, "id long, y int, terms array<int>, counts array<int>").collect()
-    rows_of = [(r["id"], r["y"], dict(zip(r["terms"], r["counts"]))) for r in found]
-    taken = Counter(y for _, y, _ in rows_of)
-    return Model(terms, idf, rows_of, {y: sizes.get(y, 0) / taken[y] for y in taken})
+    y = found.column("y").to_numpy().astype(np.int64)
+    starts = np.r_[0, np.cumsum([len(x) for x in words])].astype(np.int64)
+    counts = found.column("counts").combine_chunks()
+    counts = counts.flatten().to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    taken = Counter(y.tolist())
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # The terms of a text in the order of their numbers, as the texts to be scored have them.
+    sort = np.lexsort((codes, np.repeat(np.arange(len(y)), np.diff(starts))))
+    return Model(terms, idf, found.column("id").to_numpy(), y, starts, codes[sort], counts[sort], {k: sizes.get(k, 0) / taken[k] for k in taken})
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` packed as ``record``, with ``score`` and ``evidence`` (nearest examples and their cosines)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, evidence array<struct<example: long, cosine: double>>")
-    def judge(texts):
-        import pandas as pd
-
-        out = [shared.value.score(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in out], "evidence": [[{"example": i, "cosine": p} for p, i in e] for _, e in out]})
+    @F.arrow_udf("struct<score: double, evidence: array<struct<example: long, cosine: double>>>")
+    def judge(texts: pa.Array) -> pa.Array:
+        out = [shared.value.score(t) for t in texts.to_pylist()]
+        flat = [e for _, found in out for e in found]
+        near = pa.StructArray.from_arrays([pa.array([i for _, i in flat], pa.int64()), pa.array([p for p, _ in flat], pa.float64())], fields=list(EVIDENCE.field("evidence").type.value_type))
+        ends = np.cumsum([0, *(len(found) for _, found in out)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), near)
+        return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), lists], names=["score", "evidence"])
 
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"))
     judged = packed.withColumn("j", judge(F.col("record").getField(text_col).cast("string")))

@@ -1,6 +1,10 @@
 import base64
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,17 +143,83 @@ def test_extract_keeps_rows(spark):
 
 def test_block_max_index_is_exact():
     rng = random.Random(6)
-    vector = lambda: {rng.randrange(30): rng.random() for _ in range(rng.randrange(1, 6))}
+    vector = lambda: {rng.randrange(30): rng.choice([rng.random(), 0.5]) for _ in range(rng.randrange(0, 6))}
     rows = [vector() for _ in range(400)]
-    index = toxicity.BlockMaxIndex(rows, block=16)
+    flat = [(i, t, w) for i, v in enumerate(rows) for t, w in v.items()]
+    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat)), 400, 30, block=16)
     for _ in range(60):
-        q = vector()
+        q = dict(sorted(vector().items()))
         dots = sorted(((-sum(w * v.get(t, 0) for t, w in q.items()), n) for n, v in enumerate(rows)))
         want = [(-d, n) for d, n in dots if d < 0][:10]
-        got = index.nearest(q, 10)
+        got = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), 10)
         assert [n for _, n in got] == [n for _, n in want] and np.allclose([p for p, _ in got], [p for p, _ in want])
 
 
+def brute_scores(docs, labels):
+    """Scores of texts by the definition: dictionaries, all pairs, and isotonic values as the largest of least means."""
+    words = lambda t: Counter(re.findall(r"\w+", (t or "").lower()))
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    marks = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and not out(i):
+            marks[i] = max(y, marks.get(i, 0))
+    texts = {}
+    for i, t in docs:
+        if i in marks:
+            texts[i] = max(t or "", texts.get(i, ""))
+    rows_of = {k: sum(y == k for y in marks.values()) / max(1, sum(marks[i] == k for i in texts)) for k in (0, 1)}
+    df = Counter(w for _, t in docs for w in words(t))
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1
+
+    def voter(own):
+        n, ones = len(own), sum(marks[i] for i in own)
+        with_term = {k: Counter(w for i in own if marks[i] == k for w in words(texts[i])) for k in (0, 1)}
+
+        def factor(w):
+            a, b = with_term[1][w], with_term[0][w]
+            under = (a + b) * (n - a - b) * ones * (n - ones)
+            chi = n * (a * (n - ones - b) - b * (ones - a)) ** 2 / under if under else 0
+            return idf(w) * chi / (chi + 20)
+
+        def unit(t):
+            v = {w: (1 + math.log(c)) * factor(w) for w, c in words(t).items() if w in with_term[0] or w in with_term[1]}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            return {w: x / norm for w, x in v.items() if x}
+
+        vectors = [(i, unit(texts[i])) for i in sorted(own)]
+        prior = sum(rows_of[marks[i]] * marks[i] for i in own) / sum(rows_of[marks[i]] for i in own)
+
+        def vote(t):
+            q = unit(t)
+            near = sorted((-sum(x * v.get(w, 0) for w, x in q.items()), k) for k, (_, v) in enumerate(vectors))
+            near = [(-d, vectors[k][0]) for d, k in near if d < 0][:15]
+            w = [rows_of[marks[i]] / (0.01 + max(0, 1 - p)) for p, i in near]
+            return (1e-3 * prior + sum(x * marks[i] for x, (_, i) in zip(w, near))) / (1e-3 + sum(w))
+
+        return vote
+
+    part = lambda i: zlib.crc32(str(i).encode()) // 5 % 4
+    votes = sorted((voter([j for j in texts if part(j) != part(i)])(texts[i]), i) for i in texts)
+    xs = sorted({round(v, 9) for v, _ in votes})
+    at = {x: (sum(rows_of[marks[i]] * marks[i] for v, i in votes if round(v, 9) == x), sum(rows_of[marks[i]] for v, i in votes if round(v, 9) == x)) for x in xs}
+    mean = lambda i, j: sum(at[x][0] for x in xs[i : j + 1]) / sum(at[x][1] for x in xs[i : j + 1])
+    values = [max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k in range(len(xs))]
+    whole = voter(list(texts))
+    return [float(np.interp(whole(t), xs, values)) for _, t in docs]
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join([*rng.choices(words, k=rng.randrange(12)), *(["Vile"] * (i % 3 == 0 and rng.random() < 0.8)), *(["sour"] * (rng.random() < 0.1))])) for i in range(130)]
+    docs += [(130, None), (131, ""), (7, "vile again"), (None, "vile")]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 120)] + [(5, 1), (None, 1), (6, None), (8, 4)]
+    kept = spark.createDataFrame([(i, t, 0.0, "", "") for i, t in docs], DOCS)
+    model = toxicity.fit(kept, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [model.score(t)[0] for _, t in docs]
+    assert np.allclose(got, brute_scores(docs, labels), atol=1e-6) and len(set(got)) > 5
+
+
 def test_toxicity_finds_held_out_rows(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
@@ -175,10 +245,10 @@ def test_toxicity_finds_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.0}
 
 
-def test_rare_toxic_words_are_terms(spark):
-    # Three of 100 toxic examples hold the word and none of 500 others: chi-squared 15.
-    rows = [(int(i < 100), "rarevile" if i < 3 else "word") for i in range(600)]
-    assert "rarevile" in toxicity._select_terms(spark.createDataFrame(rows, "y int, text string"))
+def test_every_word_of_the_examples_is_a_term(spark):
+    rows = [(i, f"once{i} word", 0.0, "", "") for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 9)) for i in range(60)], "doc_id long, toxic int"))
+    assert set(model.terms.number) == {"word"} | {f"once{i}" for i in model.ids.tolist()}
 
 
 def test_ann_against_brute_force(spark):
