@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import ann, bpe, chat, exact_dedup, html_text, pack, shard, simhash, toxicity, warc
+from . import ann, bpe, chat, exact_dedup, html_text, pack, pipeline, shard, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_html": html_text.op9_html,
         "op10_simhash": simhash.op10_simhash,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -1,53 +1,87 @@
 """Shards by a two-pass external shuffle.
 
 Pass one scatters whole records into buckets of about ``bucket_bytes`` by a
-seeded hash of id and text.  Pass two holds one bucket at a time, permutes it
-(``shuffle`` is Spark's inside-out Fisher-Yates) and writes it.  Buckets in
+seeded hash of id, text and, for a table read from files, the row's place in it, so rows that
+repeat both scatter as well.  Pass two permutes the buckets (``shuffle`` is Spark's inside-out
+Fisher-Yates) and writes them; a task gets some of them, about ``TASK_BYTES``, and holds no more.  Buckets in
 order, each permuted, form one random order of all records; the shards are
 consecutive runs of it whose row counts are at most one apart (law ``rows``), so
-a bucket is written to one or two shards only.
+a bucket is written to one or two shards only.  The buckets' places are prefix sums in two
+levels: within groups of about the square root of their number, and over the groups.
 
-Defined results: a null text has size 1 (no bytes); null ids are hashed by their
-text alone; copies of a text have different ids and scatter as all rows do; rows
-that repeat both id and text share a bucket; an empty table gives no rows.
+Defined results: a null text has size 1 (no bytes); nulls are hashed like a value of their own; copies
+of a text scatter as all rows do; rows that repeat id and text of a table that isn't read from files
+share a bucket unless ``place`` tells them apart; other columns may be of any kind; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, shuffle_partitions, table
+from .common import cut, fresh_path, shuffle_partitions, table
 
-#: Bytes of text that a bucket holds, on average: a small part of a task's memory.
+#: Bytes of text that a bucket holds, on average, and those of a task.
 BUCKET_BYTES = 8 << 20
+TASK_BYTES = 64 << 20
 SEED = 20240229
 
 
+def row_place(docs: DataFrame) -> list[Column]:
+    """What tells the rows of a table in files apart; nothing for other frames."""
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place).schema
+    except AnalysisException:
+        return []
+    return place
+
+
+def scattered(docs: DataFrame, buckets: int, place: list[Column], id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``bucket, h, record``."""
+    hashed = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col], *place)
+    return docs.select(F.pmod(hashed, F.lit(buckets)).alias("bucket"), hashed.alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("record"))
+
+
+def bucket_offsets(counts: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, offset`` from ``bucket, n``: how many rows stand in the buckets before."""
+    width = max(1, round(buckets**0.5))
+    grouped = counts.withColumn("part", F.floor(F.col("bucket") / width))
+    running = lambda spec: F.coalesce(F.sum("n").over(spec.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = grouped.groupBy("part").agg(F.sum("n").alias("n")).select("part", running(Window.orderBy("part")).alias("earlier"))
+    within = grouped.withColumn("own", running(Window.partitionBy("part").orderBy("bucket")))
+    return within.join(parts, "part").select("bucket", (F.col("earlier") + F.col("own")).alias("offset"))
+
+
 def scatter_shuffle(
-    docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED
+    docs: DataFrame,
+    shards: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket_bytes: int = BUCKET_BYTES,
+    seed: int = SEED,
+    place: list[Column] | None = None,
 ) -> DataFrame:
     """``shard, slot, record``: the whole rows of ``docs`` in their new places."""
-    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 1
     total = docs.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
     rows, size_all = total["n"], total["b"] or 0
-    buckets = max(-(-size_all // bucket_bytes), 2 * shuffle_partitions(spark))
-    hashed = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
-    placed = docs.select(
-        F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket"), hashed.alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("record")
-    )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket: a bound on what is broadcast.
-    offsets = placed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    tasks = max(-(-size_all // TASK_BYTES), shuffle_partitions(docs.sparkSession))
+    buckets = max(-(-size_all // bucket_bytes), 2 * tasks)
+    placed = scattered(docs, buckets, row_place(docs) if place is None else place, id_col, text_col, seed)
+    offsets = bucket_offsets(cut(placed.groupBy("bucket").agg(F.count("*").alias("n"))), buckets)
+    # The order before shuffling is that of the hashes, whatever order records arrive in.
+    order = F.transform(F.array_sort(F.transform("records", lambda r, i: F.struct(r["h"].alias("h"), i.alias("i")))), lambda x: x["i"])
     permuted = (
-        placed.repartition(buckets, "bucket")
+        placed.repartition(tasks, "bucket")
         .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("h", "record"))).alias("records"))
-        .join(F.broadcast(offsets), "bucket")
-        .select("offset", F.posexplode(F.shuffle("records", seed)).alias("pos", "e"))
-        .select((F.col("offset") + F.col("pos")).alias("place"), F.col("e.record").alias("record"))
+        .agg(F.collect_list(F.struct("h", "record")).alias("records"))
+        .select("bucket", F.transform(F.shuffle(order, seed), lambda i: F.get(F.col("records"), i)["record"]).alias("records"))
+        .join(offsets.hint("shuffle_hash"), "bucket")
+        .select("offset", F.posexplode("records").alias("pos", "record"))
+        .select((F.col("offset") + F.col("pos")).alias("place"), "record")
     )
     base, more = divmod(rows, shards)
     edge = more * (base + 1)

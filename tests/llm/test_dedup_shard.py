@@ -2,11 +2,12 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_dedup, shard, simhash
-from sluice.llm.pack import pack_documents, packed_sequences, sum_of_squares
+from sluice.llm import bpe, exact_dedup, pack, shard, simhash
+from sluice.llm.pack import fewest, pack_documents, packed_sequences, sum_of_squares
 
 SCHEMA = "doc_id long, text string, digest string, row long, id long"
 
@@ -70,6 +71,22 @@ def test_shards_are_a_balanced_gapless_permutation(spark, tmp_path, n):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_any_columns_and_repeated_rows_scatter(spark, tmp_path):
+    rows = [(1, "same " * 20, {"a": [i]}, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, record map<string, array<long>>, bucket string")
+    out = shard.write_shards(df, f"{tmp_path}/m", 8, bucket_bytes=200).collect()
+    assert sorted(r.record.record["a"][0] for r in out) == list(range(300))
+    assert sorted((r.shard, r.slot) for r in out) == sorted((k, n) for k in range(8) for n in range(38 if k < 4 else 37))
+    # Rows of a table that repeat id and text are told apart by their place in it.
+    df.write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    placed = shard.scattered(read, 50, shard.row_place(read)).groupBy("bucket").count().collect()
+    assert len(placed) > 40 and max(r["count"] for r in placed) < 30
+    again = [shard.scatter_shuffle(read, 8, bucket_bytes=200).select("shard", "slot", "record.record").collect() for _ in range(2)]
+    key = lambda r: (r.shard, r.slot)
+    assert sorted(again[0], key=key) == sorted(again[1], key=key) and len(again[0]) == 300
+
+
 def test_shuffle_mixes_and_repeats(spark):
     df = docs(spark, [(i, f"text {i}") for i in range(400)])
     place = lambda: [r.record.doc_id for r in shard.scatter_shuffle(df, 1, bucket_bytes=2000).orderBy("shard", "slot").collect()]
@@ -99,24 +116,65 @@ def best_fit(sizes, capacity):
     return bins
 
 
-def test_sum_of_squares_packs_within_capacity():
+def brute_sum_of_squares(sizes, capacity, budget):
+    """The rule by trying every open bin and summing the squares anew."""
+    gaps, bins = [], []
+    for size in sizes:
+        def cost(changed):
+            own = [g for g in changed if 0 < g < capacity]
+            return sum(own.count(g) ** 2 for g in set(own))
+
+        choices = [(cost([*gaps[:k], g - size, *gaps[k + 1 :]]), g, k) for k, g in enumerate(gaps) if g >= size]
+        if len(gaps) < budget or not choices:
+            choices.append((cost([*gaps, capacity - size]), capacity + 1, len(gaps)))
+        _, _, k = min(choices, key=lambda c: c[:2])
+        if k == len(gaps):
+            gaps.append(capacity)
+        gaps[k] -= size
+        bins.append(k)
+    return sorted(gaps), bins
+
+
+@pytest.mark.parametrize("budget", [0, 9, None])
+def test_sum_of_squares_against_brute_force(budget):
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = [rng.randrange(1, 21) for _ in range(60)]
+        limit = -(-sum(sizes) // 20) if budget is None else budget
+        bins, _ = sum_of_squares(np.array(sizes), 20, budget)
+        level = np.bincount(bins, sizes)
+        assert sorted((20 - level).astype(int).tolist()) == brute_sum_of_squares(sizes, 20, limit)[0]
+
+
+def test_packing_is_within_capacity_and_no_worse_than_best_fit():
     rng = random.Random(5)
-    sizes = sorted((rng.randrange(1, 100) for _ in range(500)), reverse=True)
-    import numpy as np
+    pools = [[rng.randrange(1, 100) for _ in range(500)], [rng.randrange(30, 40) for _ in range(500)], [rng.choice([1, 2, 50, 99, 100]) for _ in range(500)], []]
+    for sizes in pools:
+        sizes.sort(reverse=True)
+        bins, offsets = fewest(np.array(sizes, dtype=np.int64), 100)
+        level = {}
+        for size, b, o in zip(sizes, bins.tolist(), offsets.tolist()):
+            assert level.get(b, 0) == o
+            level[b] = o + size
+        assert max(level.values(), default=0) <= 100 and len(level) <= best_fit(sizes, 100) + 1
+
+
+def test_both_tokenizers_agree_at_the_border():
+    from tokenizers import Tokenizer
 
-    bins, offsets = sum_of_squares(np.array(sizes), 100)
-    level = {}
-    for size, b, o in zip(sizes, bins.tolist(), offsets.tolist()):
-        assert level.get(b, 0) == o
-        level[b] = o + size
-    assert max(level.values()) <= 100 and len(level) <= best_fit(sizes, 100) + 1
+    rng = random.Random(13)
+    reference = Tokenizer.from_file(bpe.vocabulary())
+    base = "".join(rng.choice("aeiou tnrs\nthein-=#.12é́日本😀") for _ in range(5000))
+    ranks = bpe.vocabulary("byte_bpe_50k.tiktoken")
+    for n in (pack.LONG_TEXT - 1, pack.LONG_TEXT, pack.LONG_TEXT + 1):
+        text = (base * (n // len(base) + 1))[: n - 14] + " <|endoftext|>"
+        want = reference.encode(text, add_special_tokens=False).ids
+        assert pack.token_ids(text, ranks, bpe.vocabulary()).tolist() == want
 
 
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    from sluice.llm import bpe
-
     rows = [(1, "hello world " * 40), (2, None), (3, ""), (4, "x y z"), (4, "x y z"), (None, "a<|endoftext|>b"), (7, "lorem ipsum " * 300)]
     reference = Tokenizer.from_file(bpe.vocabulary())
     got = packed_sequences(docs(spark, rows), capacity=64).collect()
@@ -166,8 +224,45 @@ def test_near_duplicates_against_brute_force(spark):
     got = simhash.near_duplicates(docs(spark, rows)).collect()
     want = sorted(((i, p - (1 << 64) if p >> 63 else p, c) for i, p, c in brute_components(rows)), key=repr)
     assert sorted(((r.id, r.fp, r.component_id) for r in got), key=repr) == want
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
-    assert kept == {c for _, _, c in want} | {None}
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert kept == sorted({c for _, _, c in want})
+
+
+def test_dropping_near_duplicates_loses_no_text(spark):
+    base = [" ".join(f"w{k * 100 + j}" for j in range(60)) for k in range(6)]
+    near = base[1].replace("w159", "w159x")
+    assert 0 < (simhash.fingerprint(base[1].encode()) ^ simhash.fingerprint(near.encode())).bit_count() <= 3
+    # Text 0 shares its id with text 1, whose near copy has a smaller id; null and repeated ids, and rows repeated whole.
+    rows = [(5, base[0]), (5, base[1]), (2, near), (None, base[2]), (None, base[3]), (None, base[3]), (7, base[4]), (7, base[4]), (None, base[4]), (9, None), (9, "")]
+    kept = simhash.drop_near_duplicates(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "digest", "row", "id"]
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+    assert got == sorted([(5, base[0]), (2, near), (None, base[2]), (None, base[3]), (7, base[4]), (9, "")], key=repr)
+
+
+def test_full_keys_are_dealt_out_and_lose_no_link(spark):
+    rng = random.Random(7)
+    # 600 fingerprints under one key: two segments are equal; 40 of them also share 8 more bits.
+    open_bits = [k for k in range(64) if k >= 32]
+    prints = {0xBEEF1234 | (rng.getrandbits(32) << 32) for _ in range(560)} | {0xBEEF1234 | (0xAA << 32) | (rng.getrandbits(24) << 40) for _ in range(40)}
+    for p in list(prints)[:200]:
+        q = p
+        for bit in rng.sample(open_bits, rng.randrange(1, 4)):
+            q ^= 1 << bit
+        prints.add(q)
+    prints = sorted(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    want = simhash.Forest()
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 3:
+                want.unite(a, b)
+    for heavy in (8, 100, 4096):
+        got = simhash.Forest()
+        for r in simhash.near_duplicate_links(df, heavy=heavy).collect():
+            got.unite(r.a % (1 << 64), r.b % (1 << 64))
+        assert {p: want.find(p) for p in want.parent} == {p: got.find(p) for p in list(got.parent)}
 
 
 def test_every_pair_within_three_bits_meets(spark):

@@ -1,7 +1,6 @@
 from test_dedup_shard import best_fit, brute_components
 
-import corpus_pipeline
-from sluice.llm import bpe, toxicity
+from sluice.llm import bpe, pipeline, toxicity
 from sluice.llm.common import staged, table
 
 SF = "/root/testdata/sf0.001"
@@ -10,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     docs = table(spark, SF, "documents")
     seen = [{r.doc_id: r.text for r in docs.collect()}]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         before = docs.columns
         docs = staged(stage(spark, docs, SF), name)
         assert docs.columns == before
@@ -20,7 +19,7 @@ def test_stages_against_brute_force(spark):
     last = {t or "": i for i, t in sorted(seen[1].items())}
     assert set(seen[2]) == set(last.values())
     assert set(seen[3]) == {c for _, _, c in brute_components(sorted(seen[2].items()))}
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
     own = bpe.load(bpe.vocabulary())
     sums, bins = {}, {}
     for r in packed:
@@ -37,12 +36,12 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_gives_the_last_stage(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def test_an_empty_table_passes_all_stages(spark):
     docs = table(spark, SF, "documents").limit(0)
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         docs = staged(stage(spark, docs, SF), name)
     assert docs.count() == 0
 
@@ -50,8 +49,21 @@ def test_an_empty_table_passes_all_stages(spark):
 def test_clashing_columns_pass_the_filters(spark):
     rows = [(i, f"some words of text number {i % 7} and more of them", 1, 2, 3, 4) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id long, fp long, component_id long, score long")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         before = docs.columns
         docs = staged(stage(spark, docs, SF), name)
         assert docs.columns == before
     assert docs.count() == 7
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    texts = [" ".join(f"w{k * 50 + j}" for j in range(40)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[3]), (7, None), (8, ""), (2, texts[3].replace("w150", "w150x")), (None, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SF), name)
+    kept = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    # Exact copies leave the largest id, near copies the smallest.
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (2, rows[8][1]), (8, "")], key=repr)
+    packed = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.groupBy("doc_id").count().count() == 4 and packed.filter("piece = 0").count() == 5
