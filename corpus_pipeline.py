@@ -1,48 +1,5 @@
-"""The corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline: ``STAGES``, ``run`` and ``ORACLE_SQL``; see ``sluice.llm.pipeline``."""
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
-kept.  All but the last return the columns of ``documents``.  SQL can't express
-three of the stages, so there is no ``ORACLE_SQL``; the tests compare the whole
-pipeline with a brute-force version."""
+from sluice.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sluice.llm.common import staged, table
-from sluice.llm.exact_dedup import drop_exact_duplicates
-from sluice.llm.pack import pack_documents
-from sluice.llm.simhash import drop_near_duplicates
-from sluice.llm.toxicity import drop_toxic
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    return drop_exact_duplicates(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
-    return pack_documents(docs).withColumnRenamed("id", "doc_id")
-
-
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", packing)]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
