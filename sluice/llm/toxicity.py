@@ -10,7 +10,9 @@ drown the few that decide (README has the figures of both).
 The ``NEIGHBOURS`` nearest examples by cosine are found exactly with a block-max
 inverted index: examples stand in blocks, a term's postings carry the largest
 weight in each block, the blocks with the largest bounds are scored first, and of
-the others only those whose bound reaches the worst neighbour so far.  Votes are
+the others only those whose bound reaches the worst neighbour so far.  Terms in over one of ``COMMON``
+examples stand in columns instead, which are multiplied for ``BATCH`` texts at a time; a block's bound starts with the
+largest of its products with them.  Cosines are compared to 12 decimals.  Votes are
 weighted by distance and by how the classes were sampled.  They are calibrated by isotonic regression on the votes of
 examples that took no part: for each of ``PARTS`` parts of the examples the associations and the index come from the others.
 The neighbours are the evidence.
@@ -42,6 +44,9 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks that are scored before the others are held against a bound.
 EAGER = 6
+#: Terms in more than one of so many examples are columns; texts that are multiplied with them at a time.
+COMMON = 16
+BATCH = 64
 #: Parts of the examples in calibration.
 PARTS = 4
 SEED = 7
@@ -62,9 +67,11 @@ class Terms:
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counts = Counter(words_of(text))
-        own = [(n, counts[t]) for t in counts.keys() & self.number.keys() for n in (self.number[t],)]
-        own.sort()
-        return np.array([n for n, _ in own], np.int64), np.array([c for _, c in own], np.int64)
+        own = counts.keys() & self.number.keys()
+        numbers = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
+        often = np.fromiter(map(counts.__getitem__, own), np.int64, len(own))
+        order = np.argsort(numbers)
+        return numbers[order], often[order]
 
 
 def association(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
@@ -101,6 +108,14 @@ class BlockMaxIndex:
         place[self.numbers] = np.arange(n_rows)
         self.n_rows, self.blocks = n_rows, -(-n_rows // block)
         at = place[rows]
+        # Common terms in columns; the height of a column is padded to whole blocks.
+        self.height = self.blocks * block
+        often = np.bincount(terms, minlength=n_terms) * COMMON > n_rows
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.columns = np.zeros((self.height, int(often.sum())))
+        common = often[terms]
+        self.columns[at[common], self.column[terms[common]]] = weights[common]
+        at, terms, weights = at[~common], terms[~common], weights[~common]
         order = np.lexsort((at, terms))
         self.at, self.weight = at[order].astype(np.int32), weights[order]
         terms, blocks = terms[order], self.at // block
@@ -112,35 +127,51 @@ class BlockMaxIndex:
         # A term's runs, by term.
         self.runs = np.searchsorted(terms[start], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """``(product, number)`` of the k largest positive products, largest first, ties to the smaller number."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights): ``(product, number)`` of the k largest positive products, largest first, ties to the smaller number."""
+        out = []
+        for first in range(0, len(queries), BATCH):
+            some = queries[first : first + BATCH]
+            dense = np.zeros((len(some), self.columns.shape[1]))
+            for n, (terms, weights) in enumerate(some):
+                column = self.column[terms]
+                dense[n, column[column >= 0]] = weights[column >= 0]
+            products = dense @ self.columns.T
+            for own, (terms, weights) in zip(products, some):
+                rare = self.column[terms] < 0
+                out.append(self._nearest(own, terms[rare], weights[rare], k))
+        return out
+
+    def _nearest(self, products: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``products``: those of the common terms."""
+        if not self.n_rows:
+            return []
         counts = self.runs[terms + 1] - self.runs[terms]
         runs, query = ranges(self.runs[terms], counts), np.repeat(weights, counts)
-        if not len(runs):
-            return []
         blocks = self.block[runs]
-        bound = np.bincount(blocks, query * self.most[runs], self.blocks)
-        products = np.zeros(self.n_rows)
+        bound = products.reshape(self.blocks, -1).max(axis=1)
+        bound += np.bincount(blocks, query * self.most[runs], self.blocks)
 
         def score(which: np.ndarray) -> None:
-            nonlocal products
             mine = which[blocks]
             own, lengths = runs[mine], self.length[runs[mine]]
             entries = ranges(self.start[own], lengths)
-            products += np.bincount(self.at[entries], np.repeat(query[mine], lengths) * self.weight[entries], self.n_rows)
+            products[:] += np.bincount(self.at[entries], np.repeat(query[mine], lengths) * self.weight[entries], self.height)
+
+        def worst() -> float:
+            """The k-th product so far, or less: blocks that aren't scored have no more than theirs."""
+            return np.partition(products, -k)[-k] if len(products) >= k else 0.0
 
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:EAGER]] = True
-        score(first)
-        least = np.partition(products, -k)[-k] if self.n_rows >= k else 0.0
-        rest = ~first & (bound > 0) & (bound >= least * (1 - 1e-9))
+        eager = np.zeros(self.blocks, bool)
+        eager[np.argsort(-bound, kind="stable")[:EAGER]] = True
+        score(eager)
+        rest = ~eager & (bound > 0) & (bound >= worst() - 1e-9)
         if rest.any():
             score(rest)
-            least = np.partition(products, -k)[-k] if self.n_rows >= k else 0.0
-        found = np.flatnonzero(products >= least) if least > 0 else np.flatnonzero(products > 0)
-        numbers = self.numbers[found]
-        best = np.lexsort((numbers, -products[found]))[:k]
-        return list(zip(products[found][best].tolist(), numbers[best].tolist()))
+        found = np.flatnonzero((products >= worst() - 1e-11) & (products > 0))
+        numbers, near = self.numbers[found], products[found].round(12)
+        best = np.lexsort((numbers, -near))[:k]
+        return list(zip(near[best].tolist(), numbers[best].tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,13 +204,15 @@ class Neighbours:
         norm = np.sqrt(np.bincount(rows, size * size, len(labels)))
         self.index = BlockMaxIndex(rows, terms, np.divide(size, norm[rows], out=np.zeros(len(size)), where=size > 0), len(labels), len(idf))
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, int]]:
-        size = (1 + np.log(counts)) * self.factor[terms]
-        some = size > 0
-        if not some.any():
-            return []
-        size = size[some]
-        return self.index.nearest(terms[some], size / np.sqrt((size * size).sum()), NEIGHBOURS)
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
+        """For each text, by its terms and their counts."""
+        queries = []
+        for terms, counts in texts:
+            size = (1 + np.log(counts)) * self.factor[terms]
+            some = size > 0
+            size = size[some]
+            queries.append((terms[some], size / np.sqrt((size * size).sum()) if len(size) else size))
+        return self.index.nearest(queries, NEIGHBOURS)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         total, agree = 1e-3, 1e-3 * self.prior
@@ -207,16 +240,22 @@ class Model:
             number = np.cumsum(others) - 1
             theirs = others[rows]
             model = Neighbours(idf, number[rows[theirs]], codes[theirs], counts[theirs], labels[others], weights[others])
-            for i in np.flatnonzero(~others).tolist():
-                own = slice(starts[i], starts[i + 1])
-                votes[i] = model.vote(model.nearest(codes[own], counts[own]))
+            own = np.flatnonzero(~others)
+            found = model.nearest([(codes[starts[i] : starts[i + 1]], counts[starts[i] : starts[i + 1]]) for i in own.tolist()])
+            votes[own] = [model.vote(x) for x in found]
         self.knots, self.values = isotonic(votes, labels, weights) if len(ids) else (np.array([0.0, 1.0]), np.array([0.0, 0.0]))
         self.neighbours = Neighbours(idf, rows, codes, counts, labels, weights)
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text."""
+        out = []
+        for found in self.neighbours.nearest([self.terms.count(t) for t in texts]):
+            vote = float(np.interp(self.neighbours.vote(found), self.knots, self.values))
+            out.append((min(1.0, max(0.0, vote)), [(min(1.0, p), int(self.ids[n])) for p, n in found]))
+        return out
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        found = self.neighbours.nearest(*self.terms.count(text))
-        vote = float(np.interp(self.neighbours.vote(found), self.knots, self.values))
-        return min(1.0, max(0.0, vote)), [(min(1.0, p), int(self.ids[n])) for p, n in found]
+        return self.scores([text])[0]
 
 
 def held_out(key: Column, folds: int = FOLDS) -> Column:
@@ -241,10 +280,11 @@ def _document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> t
 
     def run(batches):
         number, found, rows = {t: i for i, t in enumerate(shared.value)}, Counter(), 0
+        known = set(number)
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                found.update(number.keys() & set(words_of(text)))
+                found.update(set(words_of(text)) & known)
         numbers, counts = [*(number[t] for t in found), -1], [*found.values(), rows]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], names=["term", "n"])
 
@@ -296,7 +336,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<example: long, cosine: double>>>")
     def judge(texts: pa.Array) -> pa.Array:
-        out = [shared.value.score(t) for t in texts.to_pylist()]
+        out = shared.value.scores(texts.to_pylist())
         flat = [e for _, found in out for e in found]
         near = pa.StructArray.from_arrays([pa.array([i for _, i in flat], pa.int64()), pa.array([p for p, _ in flat], pa.float64())], fields=list(EVIDENCE.field("evidence").type.value_type))
         ends = np.cumsum([0, *(len(found) for _, found in out)]).astype(np.int32)

@@ -143,15 +143,16 @@ def test_extract_keeps_rows(spark):
 
 def test_block_max_index_is_exact():
     rng = random.Random(6)
-    vector = lambda: {rng.randrange(30): rng.choice([rng.random(), 0.5]) for _ in range(rng.randrange(0, 6))}
+    vector = lambda: {min(rng.randrange(12), rng.randrange(60)): rng.choice([rng.random(), 0.5]) for _ in range(rng.randrange(0, 6))} | {rng.randrange(12, 60): 0.5}
     rows = [vector() for _ in range(400)]
     flat = [(i, t, w) for i, v in enumerate(rows) for t, w in v.items()]
-    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat)), 400, 30, block=16)
-    for _ in range(60):
-        q = dict(sorted(vector().items()))
-        dots = sorted(((-sum(w * v.get(t, 0) for t, w in q.items()), n) for n, v in enumerate(rows)))
+    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat)), 400, 60, block=16)
+    queries = [dict(sorted(vector().items())) for _ in range(150)]
+    answers = index.nearest([(np.array(list(q), np.int64), np.array(list(q.values()))) for q in queries], 10)
+    assert index.columns.shape[1] > 0 and len(index.at) > 0
+    for q, got in zip(queries, answers):
+        dots = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), n) for n, v in enumerate(rows)))
         want = [(-d, n) for d, n in dots if d < 0][:10]
-        got = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), 10)
         assert [n for _, n in got] == [n for _, n in want] and np.allclose([p for p, _ in got], [p for p, _ in want])
 
 
@@ -191,7 +192,7 @@ def brute_scores(docs, labels):
 
         def vote(t):
             q = unit(t)
-            near = sorted((-sum(x * v.get(w, 0) for w, x in q.items()), k) for k, (_, v) in enumerate(vectors))
+            near = sorted((-round(sum(x * v.get(w, 0) for w, x in q.items()), 12), k) for k, (_, v) in enumerate(vectors))
             near = [(-d, vectors[k][0]) for d, k in near if d < 0][:15]
             w = [rows_of[marks[i]] / (0.01 + max(0, 1 - p)) for p, i in near]
             return (1e-3 * prior + sum(x * marks[i] for x, (_, i) in zip(w, near))) / (1e-3 + sum(w))
