@@ -20,6 +20,7 @@ class Typed(NamedTuple):
 
 
 NUMBERS = ("long", "double")
+LEAST = -(1 << 63)
 SPARK = {"string": "string", "long": "bigint", "double": "double", "bool": "boolean", "json": "string", "timestamp": "bigint", "null": "string"}
 
 
@@ -41,11 +42,43 @@ def literal(value) -> Typed:
 
 def leaf_number(x: Typed) -> Typed:
     """A JSON leaf as a number if it is one; JSON text of numbers starts with a digit or a sign."""
+    if x.kind == "variant":
+        number = F.schema_of_variant(x.col).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+        return Typed(F.when(number, F.try_variant_get(x.col, "$", "double")), "double")
     if x.kind != "json":
         return x
     return Typed(F.when(x.col.rlike(r"^-?\d"), x.col.try_cast("double")), "double")
 
 
+def plain(x: Typed) -> Typed:
+    """A variant as the text of its JSON value."""
+    return Typed(F.to_json(x.col), "json") if x.kind == "variant" else x
+
+
+def guard_json(op: str, a: Typed, b: Typed) -> None:
+    if {"json", "variant"} & {a.kind, b.kind}:
+        raise SqlError(f"A JSON value can't stand in '{op}'; take a value out of it with ->> first")
+
+
+def negate(x: Typed) -> Typed:
+    """The least whole number is its own negation."""
+    return Typed(F.when(x.col == LEAST, x.col).otherwise(-x.col) if x.kind == "long" else -x.col, x.kind)
+
+
+def wrapped_sum(total, value: Column) -> Column:
+    """The sum of whole numbers modulo 2^64; ``total`` sums a column.  Parts of 21 bits don't overflow below 2^42 rows."""
+    parts = [value.bitwiseAND((1 << 21) - 1), F.shiftright(value, 21).bitwiseAND((1 << 21) - 1), F.shiftright(value, 42)]
+    low, middle, high = (F.coalesce(total(p), F.lit(0).cast("bigint")).cast("decimal(38,0)") for p in parts)
+    exact = (low + (middle * F.lit(1 << 21).cast("decimal(8,0)")).cast("decimal(38,0)")).cast("decimal(38,0)")
+    exact = (exact + (high * F.lit(1 << 42).cast("decimal(14,0)")).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return wrap(exact)
+
+
+def wrap(exact: Column) -> Column:
+    half, full = F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
+    return (F.pmod(exact + half, full) - half).cast("bigint")
+
+
 def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     a, b = leaf_number(a), leaf_number(b)
     if op == "/":
@@ -64,17 +97,13 @@ def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     wide = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
     dx, dy = x.cast("decimal(38,0)"), y.cast("decimal(38,0)")
     exact = {"+": dx + dy, "-": dx - dy, "*": dx * dy}[op]
-    half, full = F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
-    wrapped = (F.pmod(exact.cast("decimal(38,0)") + half, full) - half).cast("bigint")
-    return Typed(F.when(wide.isNotNull() | x.isNull() | y.isNull(), wide).otherwise(wrapped), "long")
+    return Typed(F.when(wide.isNotNull() | x.isNull() | y.isNull(), wide).otherwise(wrap(exact.cast("decimal(38,0)"))), "long")
 
 
 def compare(op: str, a: Typed, b: Typed) -> Typed:
     """NULL with NULL; numbers as doubles; across kinds = is FALSE and < is NULL."""
     if "null" in (a.kind, b.kind):
         return null("bool")
-    if "json" in (a.kind, b.kind):
-        raise SqlError("A JSON value can't be compared; use ->> or TO_DOUBLE")
     ka, kb = ("number" if k in NUMBERS else k for k in (a.kind, b.kind))
     if ka != kb:
         if op in ("=", "!="):
@@ -165,7 +194,9 @@ def call(name: str, args: list[Typed], syntax: list) -> Typed:
         raise SqlError(f"{name} takes {' or '.join(map(str, arity[name]))} argument(s)")
     if name == "ABS":
         x = leaf_number(first)
-        return Typed(F.abs(x.col), x.kind) if x.kind in NUMBERS else null("long")
+        if x.kind not in NUMBERS:
+            return null("long")
+        return Typed(F.when(x.col < 0, negate(x).col).otherwise(x.col) if x.kind == "long" else F.abs(x.col), x.kind)
     if name == "ROUND":
         x = leaf_number(first)
         if x.kind not in NUMBERS:
@@ -178,7 +209,10 @@ def call(name: str, args: list[Typed], syntax: list) -> Typed:
         if not args:
             raise SqlError("COALESCE takes arguments")
         kinds = [a.kind for a in args if a.kind != "null"]
-        kind = "double" if set(kinds) == set(NUMBERS) else kinds[0] if kinds else "null"
+        if len(set(kinds)) > 1 and set(kinds) != set(NUMBERS):
+            # Values of different kinds meet as their texts, so none is lost.
+            return Typed(F.coalesce(*[to_string(a).col for a in args]), "string")
+        kind = "double" if len(set(kinds)) > 1 else kinds[0] if kinds else "null"
         return Typed(F.coalesce(*[a.col.cast(SPARK[kind]) for a in args]), kind)
     if name == "TO_STRING":
         return to_string(first, timestamp=getattr(syntax[0], "name", "") == "TO_TIMESTAMP")
@@ -190,3 +224,11 @@ def call(name: str, args: list[Typed], syntax: list) -> Typed:
 def json_path(base: Column, steps: list, text: bool) -> Typed:
     path = "$" + "".join(f"[{s}]" if isinstance(s, int) else "['" + s.replace("'", "\\'") + "']" for s in steps)
     return Typed(F.get_json_object(base, path), "string" if text else "json")
+
+
+def variant_path(base: Column, steps: list, text: bool) -> Typed:
+    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else "['" + s.replace("'", "\\'") + "']" for s in steps)
+    found = F.try_variant_get(base, path, "variant")
+    if not text:
+        return Typed(found, "variant")
+    return Typed(F.when(~F.is_variant_null(found), F.coalesce(F.try_variant_get(base, path, "string"), F.to_json(found))), "string")

@@ -26,3 +26,20 @@ def with_watermark(df: DataFrame, lateness: int = LATENESS, run: int = RUN) -> D
 
 def drop_late(df: DataFrame, lateness: int = LATENESS) -> DataFrame:
     return with_watermark(df, lateness).filter(F.coalesce(F.col("_ts") >= F.col("_wm"), F.lit(True))).drop("_wm")
+
+
+def drop_late_together(sources: dict[str, DataFrame], lateness: int = LATENESS) -> dict[str, DataFrame]:
+    """The rows of each source that aren't late by one watermark over all of them: the largest event time
+    among earlier arrivals (``_seq``) of any source, less ``lateness``."""
+    if len(sources) == 1:
+        return {name: drop_late(df, lateness) for name, df in sources.items()}
+    arrivals = None
+    for df in sources.values():
+        own = df.select("_seq", "_ts")
+        arrivals = own if arrivals is None else arrivals.unionByName(own)
+    marks = with_watermark(arrivals.groupBy("_seq").agg(F.max("_ts").alias("_ts")), lateness).select(F.col("_seq").alias("_at"), "_wm")
+    out = {}
+    for name, df in sources.items():
+        seen = df.join(marks, F.col("_seq") == F.col("_at"), "left")
+        out[name] = seen.filter(F.coalesce(F.col("_ts") >= F.col("_wm"), F.lit(True))).select(*df.columns)
+    return out

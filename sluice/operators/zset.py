@@ -49,6 +49,16 @@ def snapshot(deltas: DataFrame) -> DataFrame:
     return net(deltas).filter(F.col(W) > 0).drop(W)
 
 
+def current(changes: DataFrame) -> DataFrame:
+    """The rows that asserts and retractions (``_weight``, ``_retract``) leave, each as often as it weighs.
+
+    A retraction names a row by all columns but its own arrival, ``_seq``; of equal rows the latest arrival is kept."""
+    deltas = as_deltas(changes)
+    keys = [F.col(f"`{c}`") for c in columns(deltas) if c != "_seq"]
+    left = deltas.groupBy(*keys).agg(F.sum(W).alias(W), F.max("_seq").alias("_seq")).filter(F.col(W) > 0)
+    return left.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(W)))).drop("_n", W)
+
+
 def attach(state: DataFrame, epoch: int, changes: DataFrame) -> DataFrame:
     """What a late reader sees: the state as of ``epoch`` as asserts, then the changes (``_epoch``) after it."""
     base = state.withColumn(W, F.lit(1).cast("bigint"))
@@ -153,13 +163,13 @@ HISTORY_LIMIT = 1000
 
 
 def history(changes: DataFrame, keys: list[str], policy: str = "all", n: int = HISTORY_LIMIT, by: str | None = None) -> DataFrame:
-    """Versions of each key among asserts: ``all``, ``last``, ``first`` n, or the row with the least or largest ``by`` and the latest."""
+    """Versions of each key among asserts: ``all`` (the newest HISTORY_LIMIT at most), ``last``, ``first`` n, or the row with the least or largest ``by`` and the latest."""
     asserts = changes.filter(F.col(W) > 0).drop(W)
     newest = Window.partitionBy(*keys).orderBy(F.desc("_ts"), F.desc("_seq"))
     oldest = Window.partitionBy(*keys).orderBy("_ts", "_seq")
     if policy in ("all", "last", "first"):
         order = oldest if policy == "first" else newest
-        limit = min(n, HISTORY_LIMIT)
+        limit = min(n, HISTORY_LIMIT) if policy == "all" else n
         return asserts.withColumn("_v", F.row_number().over(order)).filter(F.col("_v") <= limit).drop("_v")
     pick = F.max_by if policy == "max_by" else F.min_by
     row = F.struct(*asserts.columns)

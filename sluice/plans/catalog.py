@@ -47,17 +47,24 @@ ADAPTERS = {
 }
 
 
-def engine(spark: SparkSession, sf_dir: str, mode: str = "table", lateness: int | None = None, names=tuple(ADAPTERS), shuffled: bool = False) -> Engine:
+#: Events are numbered in the order of their time.
+CLOCKS = dict.fromkeys(("ev", "clicks", "purchases"), "events")
+
+
+def disordered(rows: DataFrame) -> DataFrame:
+    """Events that arrive in another order than they happened."""
+    return rows.withColumn("_seq", F.col("_seq") - F.pmod(F.col("_seq") * 7919, F.lit(97)) * 3)
+
+
+def engine(spark: SparkSession, sf_dir: str, mode: str = "table", names=tuple(ADAPTERS), shuffled: bool = False) -> Engine:
     """An engine with the named relations; a statement's own are enough for it."""
-    g = Engine(spark, mode, lateness)
+    g = Engine(spark, mode)
     for name in names:
         if name not in ADAPTERS:
             continue
         build, json = ADAPTERS[name]
         rows = build(spark, sf_dir)
-        if shuffled and name == "ev":
-            rows = rows.withColumn("_seq", F.col("_seq") - F.pmod(F.col("_seq") * 7919, F.lit(97)) * 3)
-        g.register(name, rows, json=json)
+        g.register(name, disordered(rows) if shuffled else rows, json=json, clock=None if shuffled else CLOCKS.get(name))
     return g
 
 
@@ -67,6 +74,9 @@ EV = """ev AS (SELECT event_type, user_id, value, CAST(json_extract_string(props
 ERRORS = """w AS (SELECT user_id, _ts - _ts % 21600000 + 21600000 AS e, max(weight) AS m FROM ev WHERE event_type = 'error' GROUP BY 1, 2),
   ends AS (SELECT DISTINCT e FROM w), seen AS (SELECT ev.*, ends.e AS vis FROM ev ASOF LEFT JOIN ends ON ev._ts - 1000 >= ends.e)"""
 TABLE, PIPE = "table", "pipeline"
+#: The normal distribution by a series of terms of one sign; beyond 8 it is 0 or 1 to 15 digits.
+CDF = ("(CASE WHEN abs({x}) > 8 THEN CASE WHEN {x} > 0 THEN 1 ELSE 0 END ELSE 0.5 + ({x}) * exp(-0.5 * ({x}) * ({x})) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda n: "
+       "exp(n * ln(greatest(({x}) * ({x}), 1e-300)) - list_sum(list_transform(range(0, n + 1), lambda m: ln(2 * m + 1.0)))))) END)")
 
 #: name: (mode, dialect, DuckDB SQL).  Doubles are rounded on both sides: their sums depend on order.
 DIALECT: dict[str, tuple[str, str, str | None]] = {
@@ -195,8 +205,27 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
     "bond_duration": (TABLE, "SELECT o_orderkey, ROUND(BOND_DURATION(o_totalprice, 0.05, 10, 0.04, 2), 6) AS v, ROUND(BOND_DV01(o_totalprice, 0.05, 10, 0.04, 2), 4) AS d FROM ord",
         """WITH f AS (SELECT o_orderkey, o_totalprice AS n, k, CASE WHEN k = 20 THEN 1.025 ELSE 0.025 END * o_totalprice * pow(1.02, -k) AS pv FROM orders, range(1, 21) t(k)),
         m AS (SELECT o_orderkey, sum(pv) AS p, sum(pv * k / 2) / sum(pv) / 1.02 AS d FROM f GROUP BY 1) SELECT o_orderkey, round(d, 6) AS v, round(d * p * 0.0001, 4) AS d FROM m"""),
-    **{f"bs_{g}": (TABLE, f"SELECT o_orderkey, BS_{g.upper()}(o_totalprice, 150000.0, 1.0, 0.03, 0.0, 0.2, TRUE) AS v FROM ord", None) for g in ("delta", "gamma", "vega", "theta")},
-    "bs_price": (TABLE, "SELECT o_orderkey, BS_PRICE(o_totalprice, 150000.0, 1.0, 0.03, 0.0, 0.2, TRUE) AS v FROM ord", None),
+    **{f"bs_{g}": (TABLE, f"SELECT o_orderkey, ROUND(BS_{g.upper()}(o_totalprice, 150000.0, 1.0, 0.03, 0.01, 0.2, {flag.upper()}), {digits}) AS v FROM ord",
+        f"""WITH d AS (SELECT o_orderkey, o_totalprice AS s, (ln(o_totalprice / 150000.0) + (0.03 - 0.01 + 0.02)) / 0.2 AS d1 FROM orders),
+        e AS (SELECT *, d1 - 0.2 AS d2, exp(-0.5 * d1 * d1) / sqrt(2 * pi()) AS pdf, {1 if flag == 'true' else -1} AS sign FROM d),
+        c AS (SELECT *, {CDF.format(x='sign * d1')} AS c1, {CDF.format(x='sign * d2')} AS c2, s * exp(-0.01) AS se, 150000.0 * exp(-0.03) AS ke FROM e)
+        SELECT o_orderkey, round({own}, {digits}) AS v FROM c""")
+        for g, flag, digits, own in (
+            ("price", "true", 3, "sign * (se * c1 - ke * c2)"), ("delta", "false", 8, "sign * exp(-0.01) * c1"), ("gamma", "true", 12, "exp(-0.01) * pdf / (s * 0.2)"),
+            ("vega", "true", 3, "se * pdf"), ("theta", "false", 3, "-se * pdf * 0.1 - sign * 0.03 * ke * c2 + sign * 0.01 * se * c1"))},
+    "star_expansion": (TABLE, "SELECT * FROM nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"),
+    "star_of_alias": (TABLE, "SELECT r.*, n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "group_by_expression": (TABLE, "SELECT o_orderkey % 10 AS d, UPPER(o_orderstatus) AS s, COUNT(*) AS n FROM ord GROUP BY o_orderkey % 10, UPPER(o_orderstatus)",
+        "SELECT o_orderkey % 10 AS d, upper(o_orderstatus) AS s, count(*) AS n FROM orders GROUP BY 1, 2"),
+    "var_pop": (TABLE, "SELECT o_orderpriority, ROUND(VAR_POP(o_totalprice), 2) AS v FROM ord GROUP BY o_orderpriority", "SELECT o_orderpriority, round(var_pop(o_totalprice), 2) AS v FROM orders GROUP BY 1"),
+    "whole_numbers_wrap": (TABLE, """SELECT o_orderstatus, SUM(o_orderkey * 4611686018427387904 + 9000000000000000000) AS s, ABS(-9223372036854775807 - 1) AS d, -(-9223372036854775807 - 1) AS m,
+        SUM(9000000000000000000) AS big FROM ord GROUP BY o_orderstatus""",
+        """WITH t AS (SELECT o_orderstatus, sum((((o_orderkey::HUGEINT * 4611686018427387904) + 9000000000000000000) % 18446744073709551616)) AS s, count(*)::HUGEINT * 9000000000000000000 AS big FROM orders GROUP BY 1)
+        SELECT o_orderstatus, ((s + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS s, (-9223372036854775808)::BIGINT AS d, (-9223372036854775808)::BIGINT AS m,
+        ((big + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS big FROM t"""),
+    "coalesce_kinds": (TABLE, "SELECT o_orderkey, COALESCE(IF(o_orderkey % 2 = 0, o_custkey, NULL), o_orderstatus) AS v FROM ord",
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE o_orderstatus END AS v FROM orders"),
+    "json_null_test": (PIPE, "SELECT user_id, props ->> 'k' AS k FROM ev WHERE (props -> 'k' = NULL) = NULL", f"WITH {EV} SELECT user_id, NULL AS k FROM ev WHERE false"),
 }
 
 
@@ -207,19 +236,32 @@ def dialect_query(name: str):
 
 
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = engine(spark, sf_dir, PIPE, lateness=1000, names=("ev",), shuffled=True)
+    g = engine(spark, sf_dir, PIPE, names=("ev",), shuffled=True)
     return g.query("SELECT event_type, COUNT(*) AS n FROM ev GROUP BY event_type WINDOW TUMBLING(SIZE 24 HOURS)")
 
 
+def late_drop_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One watermark over both sides of a join, each out of order."""
+    g = engine(spark, sf_dir, PIPE, names=("clicks", "purchases"), shuffled=True)
+    return g.query("SELECT c.user_id, c.value AS cv, p.value AS pv FROM clicks c JOIN purchases p WITHIN 6 HOURS ON c.user_id = p.user_id")
+
+
 LATE = f"""WITH {EV}, s AS (SELECT event_type, _ts, _seq - (_seq * 7919 % 97) * 3 AS q FROM ev),
 m AS (SELECT *, max(_ts) OVER (ORDER BY q, 1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000 AS wm FROM s)
 SELECT event_type, count(*) AS n, _ts - _ts % 86400000 AS window_start, _ts - _ts % 86400000 + 86400000 AS window_end
 FROM m WHERE wm IS NULL OR _ts >= wm GROUP BY 1, 3, 4"""
 
 
+LATE_BOTH = f"""WITH {EV}, s AS (SELECT *, _seq - (_seq * 7919 % 97) * 3 AS q FROM ev WHERE event_type IN ('click', 'purchase')),
+m AS (SELECT *, max(_ts) OVER (ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000 AS wm FROM s),
+k AS (SELECT * FROM m WHERE wm IS NULL OR _ts >= wm)
+SELECT c.user_id, c.value AS cv, p.value AS pv FROM k c JOIN k p ON c.user_id = p.user_id AND abs(c._ts - p._ts) <= 21600000
+WHERE c.event_type = 'click' AND p.event_type = 'purchase'"""
+
+
 def queries() -> dict:
-    return {name: dialect_query(name) for name in DIALECT} | {"late_drop": late_drop}
+    return {name: dialect_query(name) for name in DIALECT} | {"late_drop": late_drop, "late_drop_two_sources": late_drop_two_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in DIALECT.items() if sql} | {"late_drop": LATE}
+    return {name: sql for name, (_, _, sql) in DIALECT.items() if sql} | {"late_drop": LATE, "late_drop_two_sources": LATE_BOTH}

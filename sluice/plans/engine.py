@@ -2,7 +2,7 @@
 
 An engine holds named relations and lowers a statement in one of two modes.
 *Pipeline* mode replays append-only sources: windows, ``WITHIN`` joins, late rows
-dropped.  *Table* mode gives the snapshot of a maintained view: running aggregates,
+dropped by one watermark over all sources of a statement.  *Table* mode gives the snapshot of a maintained view: running aggregates,
 equi-joins, ``LATEST BY``.  Everything becomes one declarative plan; Catalyst
 pushes filters and prunes columns below the joins.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +21,15 @@ from ..functions import builtins as B
 from ..functions import quant
 from ..functions.builtins import SPARK, Typed
 from ..functions.registry import Registry
-from ..operators.watermark import LATENESS, drop_late
+from ..operators import zset
+from ..operators.watermark import LATENESS, drop_late_together
+from ..sources.sinks import Sink
 from ..sql.ast import Agg, Bin, Cast, Col, Exists, Fn, If, InQuery, Item, Join, Lit, Path, Scalar, Select, SqlError, Star, Un, Union
-from ..sql.parser import parse, references, split_sink
+from ..sql.parser import parse, references, sources, split_sink
 
 META = ("_ts", "_source", "_seq")
+#: The clock of a relation that doesn't say in which order its rows arrived.
+UNORDERED = "unordered"
 KINDS = {"string": "string", "bigint": "long", "int": "long", "smallint": "long", "tinyint": "long", "double": "double", "float": "double", "boolean": "bool"}
 
 
@@ -32,6 +37,9 @@ KINDS = {"string": "string", "bigint": "long", "int": "long", "smallint": "long"
 class Relation:
     df: DataFrame
     kinds: dict[str, str]
+    #: The log whose arrival order is the order of event time, if the relation comes from one: no row of it is late.
+    clock: str | None = None
+    view: bool = False
 
 
 @dataclass
@@ -78,16 +86,23 @@ def default_name(expr, k: int) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, mode: str = "table", lateness: int | None = None):
+    def __init__(self, spark: SparkSession, mode: str = "table", lateness: int | None = LATENESS):
+        """``lateness``: allowed in a pipeline, in milliseconds; None keeps late rows."""
         self.spark, self.mode, self.lateness = spark, mode, lateness
         self.relations: dict[str, Relation] = {}
+        self.sinks: dict[str, Sink] = {}
         self.registry = quant.install(Registry())
+        self._admitted: dict[str, DataFrame] = {}
 
     # Catalog
 
-    def register(self, name: str, df: DataFrame, json: tuple[str, ...] = ()) -> "Engine":
-        """A relation.  ``_ts``, ``_source`` and ``_seq`` are filled in where they lack."""
-        kinds = {c: "json" if c in json else KINDS.get(t) for c, t in df.dtypes if c not in META}
+    def register(self, name: str, df: DataFrame, json: tuple[str, ...] = (), clock: str | None = None) -> "Engine":
+        """A relation.  ``_ts``, ``_source`` and ``_seq`` are filled in where they lack.
+
+        Rows with ``_weight`` or ``_retract`` are changes: in a table the rows that they leave are seen (a
+        statement with ``LATEST BY`` sees retractions of keys).  ``clock``: see ``Relation``."""
+        changes = [c for c in (zset.W, "_retract") if c in df.columns]
+        kinds = {c: "json" if c in json else KINDS.get(t) for c, t in df.dtypes if c not in (*META, *changes)}
         bad = [c for c, k in kinds.items() if k is None]
         if bad:
             raise ValueError(f"columns of kinds the dialect lacks: {bad}")
@@ -99,28 +114,44 @@ class Engine:
         if "_ts" not in df.columns:
             df = df.withColumn("_ts", F.lit(0).cast("bigint"))
         if "_seq" not in df.columns:
+            clock = clock or UNORDERED
             df = df.withColumn("_seq", F.lit(0).cast("bigint"))
         if "_source" not in df.columns:
             df = df.withColumn("_source", F.lit(name))
-        if self.mode == "pipeline" and self.lateness is not None:
-            df = drop_late(df, self.lateness)
-        self.relations[name] = Relation(df, kinds)
+        self.relations[name] = Relation(df, kinds, clock)
+        return self
+
+    def sink(self, name: str, sink: "Sink") -> "Engine":
+        """What ``INSERT INTO name`` writes to."""
+        self.sinks[name] = sink
         return self
 
     def create(self, name: str, sql: str) -> "Engine":
         """A view over what is registered; views chain."""
-        found = self.relation(parse(split_sink(sql)[1]))
-        self.relations[name] = found
+        found = self.lower(parse(split_sink(sql)[1]))
+        self.relations[name] = Relation(found.df, found.kinds, view=True)
         return self
 
     def validate(self, sql: str) -> list[SqlError]:
         """Diagnostics with their place; never raises."""
         try:
-            self.relation(parse(split_sink(sql)[1]))
+            sink, text = split_sink(sql)
+            self._target(sink)
+            found = self.lower(parse(text))
+            found.df.schema  # noqa: B018  what only the analyzer finds
         except SqlError as error:
             return [error]
+        except RecursionError:
+            return [SqlError("The statement is nested too deeply")]
+        except PySparkException as error:
+            return [SqlError(str(error).splitlines()[0])]
         return []
 
+    def _target(self, name: str | None) -> "Sink | None":
+        if name is not None and name not in self.sinks:
+            raise SqlError(f"Unknown sink '{name}'")
+        return self.sinks[name] if name is not None else None
+
     def create_all(self, views: dict[str, str]) -> "Engine":
         """Views that may name each other, in an order in which each finds what it names."""
         needs = {name: [r for r in references(split_sink(sql)[1]) if r in views] for name, sql in views.items()}
@@ -151,16 +182,37 @@ class Engine:
         return [r for r in references(sql) if r in self.relations]
 
     def query(self, sql: str, meta: tuple[str, ...] = ()) -> DataFrame:
-        """The statement's rows: its columns, window bounds, and ``meta`` columns on demand."""
-        found = self.relation(parse(split_sink(sql)[1]))
+        """The statement's rows: its columns, window bounds, and ``meta`` columns on demand.
+
+        ``INSERT INTO sink`` writes them to the sink and gives what the sink then holds of them."""
+        name, text = split_sink(sql)
+        sink = self._target(name)
+        found = self.lower(parse(text))
         extra = [c for c in ("window_start", "window_end", "_final") if c in found.df.columns and c not in found.kinds]
-        return found.df.select(*[f"`{c}`" for c in found.kinds], *extra, *meta)
+        out = found.df.select(*[f"`{c}`" for c in found.kinds], *extra, *meta)
+        return out if sink is None else sink.write(out)
 
     def explain(self, sql: str) -> str:
         return self.query(sql)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     # Relations
 
+    def lower(self, statement) -> Relation:
+        """A whole statement: late rows of its sources go, by one watermark over all of them."""
+        self._admitted = self._on_time(statement) if self.mode == "pipeline" and self.lateness is not None else {}
+        try:
+            return self.relation(statement)
+        finally:
+            self._admitted = {}
+
+    def _on_time(self, statement) -> dict[str, DataFrame]:
+        named = {n: self.relations[n] for n in sources(statement) if n in self.relations}
+        named = {n: r for n, r in named.items() if not r.view and r.clock != UNORDERED}
+        clocks = {r.clock for r in named.values()}
+        if not named or (len(clocks) == 1 and None not in clocks):
+            return {}
+        return drop_late_together({n: r.df for n, r in named.items()}, self.lateness)
+
     def relation(self, statement) -> Relation:
         return self.union(statement) if isinstance(statement, Union) else self.select(statement)
 
@@ -191,27 +243,37 @@ class Engine:
     def _labels(self, b) -> list[str]:
         return [x for c in b.branches for x in self._labels(c)] if isinstance(b, Union) else [b.source.alias, *(j.alias for j in b.joins)]
 
-    def scan(self, source) -> Working:
+    def scan(self, source, keyed: bool = False) -> Working:
+        """``keyed``: retractions are left to LATEST BY."""
         if source.query is not None:
             rel = self.relation(source.query)
             extra = {c: "long" for c in ("window_start", "window_end") if c in rel.df.columns and c not in rel.kinds}
             rel = Relation(rel.df, rel.kinds | extra)
         elif source.name in self.relations:
             rel = self.relations[source.name]
+            rel = Relation(self._admitted.get(source.name, rel.df), rel.kinds)
+            if not keyed and self.mode == "table" and {zset.W, "_retract"} & set(rel.df.columns):
+                rel = Relation(zset.current(rel.df), rel.kinds)
         else:
             raise SqlError(f"Unknown relation '{source.name}'", *source.at)
         a = source.alias
-        fields = {(a, f): (f"{a}_{f}", k) for f, k in rel.kinds.items()}
+        # A name in the dialect has no dot, so no two fields share a column.
+        fields = {(a, f): (f"{a}.{f}", k) for f, k in rel.kinds.items()}
         cols = [F.col(f"`{f}`").alias(c) for (_, f), (c, _) in fields.items()]
-        fields[a, "_ts"] = (f"{a}__ts", "long")
-        return Working(rel.df.select(*cols, F.col("_ts").alias(f"{a}__ts"), "_ts", "_seq"), fields, [a])
+        fields[a, "_ts"] = (f"{a}._ts", "long")
+        gone = ["_retract"] if keyed and "_retract" in rel.df.columns else []
+        return Working(rel.df.select(*cols, F.col("_ts").alias(f"{a}._ts"), "_ts", "_seq", *gone), fields, [a])
 
     def select(self, q: Select, keys: list | None = None) -> Relation:
         """``keys``: inner columns that a correlated subquery is grouped by."""
-        w = self.scan(q.source)
+        w = self.scan(q.source, keyed=q.latest_by is not None and not q.joins)
         for j in q.joins:
             w = self.join(w, j)
         q = self._expand(q, w)
+        shown = [i.alias or default_name(i.expr, k) for k, i in enumerate(q.items)]
+        twice = next((n for n in shown if shown.count(n) > 1), None)
+        if twice is not None:
+            raise SqlError(f"Two output columns are named '{twice}'")
         for item in q.items:
             item.expr = self._registered(item.expr)
         w = self.where(w, q.where)
@@ -256,9 +318,7 @@ class Engine:
             aliases = [item.alias] if item.alias else w.aliases
             if item.alias and item.alias not in w.aliases:
                 raise SqlError(f"Unknown alias '{item.alias}'")
-            from ..sql.ast import Item
-
-            for (a, f), _ in w.fields.items():
+            for a, f in w.fields:
                 if a in aliases and f != "_ts":
                     items.append(Item(Col(f, a), f if len(aliases) == 1 else f"{a}_{f}"))
         if q.group_all:
@@ -272,12 +332,10 @@ class Engine:
             array = self.expr(j.unnest, w)
             if array.kind != "json":
                 raise SqlError("UNNEST takes a JSON array")
-            name = f"{j.alias}_value"
-            # Elements keep their JSON text; what isn't an array has no rows.
-            listed = w.df.withColumn(name, array.col)
-            elements = F.expr(f"transform(from_json(`{name}`, 'array<variant>'), x -> to_json(x))")
-            df = listed.withColumn(name, F.explode(elements))
-            return Working(df, {**w.fields, (j.alias, j.alias): (name, "json")}, [*w.aliases, j.alias])
+            name = f"{j.alias}.value"
+            # Elements stay variants until something reads them; what isn't an array has no rows.
+            df = w.df.withColumn(name, F.explode(F.from_json(array.col, "array<variant>")))
+            return Working(df, {**w.fields, (j.alias, j.alias): (name, "variant")}, [*w.aliases, j.alias])
         if self.mode == "table" and j.within is not None:
             raise SqlError("WITHIN is for pipelines")
         if self.mode == "pipeline" and j.within is None:
@@ -297,19 +355,32 @@ class Engine:
                 x = B.truth(self.expr(c, both))
                 cond = x if cond is None else cond & x
         if j.within is not None:
-            near = F.abs(F.col("_lts") - F.col("_rts")) <= j.within
-            cond = near if cond is None else cond & near
-            if j.kind in ("inner", "left", "cross"):
-                # Buckets of the span bound the pairs that meet under one key.
-                span = max(1, j.within)
-                left = left.withColumn("_lb", F.floor(F.col("_lts") / span))
-                around = F.array(*[F.floor(F.col("_rts") / span) + d for d in (-1, 0, 1)])
-                right = right.withColumn("_rb", F.explode(around))
-                cond, drop = cond & (F.col("_lb") == F.col("_rb")), ["_lb", "_rb"]
-        how = "inner" if j.kind == "cross" and cond is not None else {"full": "full_outer"}.get(j.kind, j.kind)
-        df = left.crossJoin(right) if cond is None else left.join(right, cond, how)
+            df = self._near(left, right, cond, j)
+        elif cond is None:
+            df = left.crossJoin(right)
+        else:
+            df = left.join(right, cond, {"full": "full_outer"}.get(j.kind, j.kind))
         df = df.withColumn("_ts", F.greatest("_lts", "_rts")).withColumn("_seq", F.greatest("_lseq", "_rseq"))
-        return Working(df.drop("_lts", "_rts", "_lseq", "_rseq", *drop), both.fields, both.aliases)
+        return Working(df.drop("_lts", "_rts", "_lseq", "_rseq"), both.fields, both.aliases)
+
+    @staticmethod
+    def _near(left: DataFrame, right: DataFrame, cond: Column | None, j: Join) -> DataFrame:
+        """A join of rows at most ``within`` apart.  Buckets of the span bound the pairs that meet under one key:
+        the side whose rows are kept whole stands in its bucket, the other in three."""
+        near = F.abs(F.col("_lts") - F.col("_rts")) <= j.within
+        cond = near if cond is None else cond & near
+        span = max(1, j.within)
+        own = lambda ts: F.floor(F.col(ts) / span)
+        spread = lambda ts: F.explode(F.array(*[own(ts) + d for d in (-1, 0, 1)]))
+        met = cond & (F.col("_lb") == F.col("_rb"))
+        if j.kind == "right":
+            return left.withColumn("_lb", spread("_lts")).join(right.withColumn("_rb", own("_rts")), met, "right").drop("_lb", "_rb")
+        how = "inner" if j.kind == "cross" else "left" if j.kind == "full" else j.kind
+        out = left.withColumn("_lb", own("_lts")).join(right.withColumn("_rb", spread("_rts")), met, how).drop("_lb", "_rb")
+        if j.kind == "full":
+            alone = right.withColumn("_rb", own("_rts")).join(left.withColumn("_lb", spread("_lts")), met, "left_anti").drop("_rb")
+            out = out.unionByName(alone, allowMissingColumns=True)
+        return out
 
     def _sides(self, c: Bin, w: Working, r: Working) -> bool:
         def of(x) -> set[int]:
@@ -332,7 +403,10 @@ class Engine:
                 w, c = self.scalars(w, c)
                 plain.append(c)
         for c in plain:
-            w = Working(w.df.filter(B.truth(self.expr(c, w))), w.fields, w.aliases)
+            holds = B.truth(self.expr(c, w))
+            # Retractions of keys have nothing but the key and pass every condition.
+            holds = holds | F.coalesce(F.col("_retract"), F.lit(False)) if "_retract" in w.df.columns else holds
+            w = Working(w.df.filter(holds), w.fields, w.aliases)
         return w
 
     def visible(self, w: Working, rel: Relation, query: Select) -> DataFrame:
@@ -450,6 +524,7 @@ class Engine:
             w, expr = self.scalars(w, item.expr)
             x = self.expr(expr, w)
             name = item.alias or default_name(item.expr, k)
+            x = B.plain(x)
             cols.append(x.col.alias(name))
             kinds[name] = x.kind
         return Relation(w.df.select(*cols, "_ts", F.lit(label).alias("_source"), "_seq"), kinds)
@@ -460,11 +535,15 @@ class Engine:
         keys = [self.expr(k, w).col.alias(f"_k{n}") for n, k in enumerate(q.latest_by)]
         rel = self.project(w, q)
         cols = [*rel.kinds, "_ts", "_source", "_seq"]
-        keyed = w.df
-        named = {c: self.expr(i.expr, w).col for c, i in zip(rel.kinds, q.items)}
+        named = {c: B.plain(self.expr(i.expr, w)).col for c, i in zip(rel.kinds, q.items)}
         label = ",".join(w.aliases)
-        row = F.struct(*[x.alias(c) for c, x in named.items()], F.col("_ts"), F.lit(label).alias("_source"), F.col("_seq"))
-        best = keyed.groupBy(*keys).agg(F.max_by(row, F.struct("_ts", "_seq")).alias("r"))
+        shown = [x.alias(c) for c, x in named.items()]
+        if "_retract" in w.df.columns:
+            names = [f"_k{n}" for n in range(len(keys))]
+            rows = w.df.select(*keys, *shown, "_ts", F.lit(label).alias("_source"), "_seq", "_retract")
+            return Relation(zset.latest_by(rows, names).select(*cols), rel.kinds)
+        row = F.struct(*shown, F.col("_ts"), F.lit(label).alias("_source"), F.col("_seq"))
+        best = w.df.groupBy(*keys).agg(F.max_by(row, F.struct("_ts", "_seq")).alias("r"))
         return Relation(best.select(*[F.col("r").getField(c).alias(c) for c in cols]), rel.kinds)
 
     def aggregate(self, w: Working, q: Select, keys: list) -> Relation:
@@ -476,7 +555,7 @@ class Engine:
         df, kinds_of_group = w.df, {}
         names = []
         for n, g in enumerate(group):
-            x = self.expr(g, w)
+            x = B.plain(self.expr(g, w))
             df = df.withColumn(f"_g{n}", x.col)
             kinds_of_group[g] = (f"_g{n}", x.kind)
             names.append(f"_g{n}")
@@ -569,7 +648,9 @@ class Engine:
         value = n.col if n.kind in B.NUMBERS else F.lit(None).cast("bigint")
         if node.name == "sum":
             kind = n.kind if n.kind in B.NUMBERS else "long"
-            return (lambda spec: F.coalesce(over(F.sum(value), spec), F.lit(0).cast(SPARK[kind]))), kind
+            if kind == "long":
+                return (lambda spec: B.wrapped_sum(lambda c: over(F.sum(c), spec), value)), kind
+            return (lambda spec: F.coalesce(over(F.sum(value), spec), F.lit(0.0))), kind
         value = value.cast("double")
         if node.name in ("median", "percentile_cont"):
             p = 0.5 if node.name == "median" else node.parameter
@@ -607,6 +688,8 @@ class Engine:
                 steps.insert(0, base.step)
                 base = base.base
             root = go(base)
+            if root.kind == "variant":
+                return B.variant_path(root.col, steps, x.text)
             if root.kind not in ("json", "string"):
                 raise SqlError("-> takes a JSON value")
             return B.json_path(root.col, steps, x.text)
@@ -615,21 +698,22 @@ class Engine:
             if x.op == "NOT":
                 return Typed(~B.truth(arg), "bool")
             arg = B.leaf_number(arg)
-            return Typed(-arg.col, arg.kind) if arg.kind in B.NUMBERS else B.null("long")
+            return B.negate(arg) if arg.kind in B.NUMBERS else B.null("long")
         if isinstance(x, Bin):
             a, b = go(x.left), go(x.right)
             if x.op in ("AND", "OR"):
                 return Typed(B.truth(a) & B.truth(b) if x.op == "AND" else B.truth(a) | B.truth(b), "bool")
-            if x.op in ("+", "-", "*", "/", "%"):
-                return B.arithmetic(x.op, a, b)
-            return B.compare(x.op, a, b)
+            if x.op in ("=", "!=") and "json" in (B.plain(a).kind, B.plain(b).kind) and Lit(None) in (x.left, x.right):
+                return B.null("bool")
+            B.guard_json(x.op, a, b)
+            return B.arithmetic(x.op, a, b) if x.op in ("+", "-", "*", "/", "%") else B.compare(x.op, a, b)
         if isinstance(x, If):
-            then, other = B.unify(go(x.then), go(x.other))
+            then, other = B.unify(B.plain(go(x.then)), B.plain(go(x.other)))
             return Typed(F.when(B.truth(go(x.cond)), then.col).otherwise(other.col), then.kind)
         if isinstance(x, Cast):
-            return B.conversion(x.kind, go(x.arg))
+            return B.conversion(x.kind, B.plain(go(x.arg)))
         if isinstance(x, Fn):
-            args = [go(a) for a in x.args]
+            args = [B.plain(go(a)) for a in x.args]
             own = self.registry.scalars.get(x.name)
             if own is not None:
                 if len(args) not in own.arity:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SYMBOLS = ("AAPL", "MSFT", "GOOG", "AMZN", "TSLA", "NVDA")
+SYMBOLS = ("ALPH", "BRVO", "CHRL", "DLTA", "ECHO", "FOXT")
 VENUES = ("XNAS", "XNYS", "BATS", "ARCX")
 CANCELED = 0.15
 
@@ -78,6 +78,8 @@ def scenarios(
     Each path has its own seeded generator, drawn day by day, so paths are computed anywhere."""
     if kind not in ("normal", "lognormal", "student_t"):
         raise ValueError(f"unknown distribution {kind}")
+    if kind == "student_t" and freedom <= 2:
+        raise ValueError("a variance needs more than 2 degrees of freedom")
     if not 0 <= rho <= 1:
         raise ValueError("rho lies between 0 and 1")
     if max_rows is not None and paths * len(instruments) * days > max_rows:
@@ -88,7 +90,9 @@ def scenarios(
         for frame in frames:
             for path in frame["id"].tolist():
                 rng = np.random.default_rng([seed, path])
-                draw = (lambda n: rng.standard_t(freedom, n)) if kind == "student_t" else rng.standard_normal
+                # Student's t is scaled to variance 1.
+                scale = np.sqrt(freedom / (freedom - 2))
+                draw = (lambda n: rng.standard_t(freedom, n) / scale) if kind == "student_t" else rng.standard_normal
                 factor, shock = np.empty(days), np.empty((days, k))
                 for d in range(days):
                     factor[d] = draw(1)[0]

@@ -2,9 +2,12 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from sluice.plans import catalog
+from sluice.functions import quant
+from sluice.plans import catalog, views
 from sluice.plans.engine import Engine
+from sluice.sources.sinks import CallSink, FileSink, LoopbackSink
 from sluice.sql.parser import parse, references, split_sink
 
 SF = "/root/testdata/sf0.001"
@@ -28,11 +31,14 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+QUERIES, ORACLES = catalog.queries() | views.queries(), catalog.oracle_sql() | views.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, duck, name):
-    own = catalog.queries()[name](spark, SF)
+    own = QUERIES[name](spark, SF)
     columns = sorted(own.columns)
-    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     assert bag(own.select(*columns).collect()) == bag(want)
 
 
@@ -43,15 +49,15 @@ def trades(spark):
 
 
 def run(engine, sql, *columns):
-    return sorted(tuple(r) for r in engine.query(sql).select(*columns).collect())
+    return sorted((tuple(r) for r in engine.query(sql).select(*columns).collect()), key=lambda r: [(x is None, x) for x in r])
 
 
-def test_tumbling_and_hopping_bounds(spark, trades):
-    e = Engine(spark, "pipeline").register("trades", trades.filter("symbol = 'AAPL'"))
-    sql = "SELECT symbol, COUNT(*) AS cnt, SUM(qty) AS total FROM trades GROUP BY symbol WINDOW TUMBLING(SIZE 10 SECONDS)"
-    assert run(e, sql, "cnt", "total", "window_start", "window_end") == [(2, 30, 0, 10000)]
-    one = Engine(spark, "pipeline").register("t", spark.createDataFrame([(7000, 1)], "_ts long, v long"))
-    assert run(one, "SELECT COUNT(*) AS n FROM t WINDOW HOPPING(SIZE 10 SECONDS, ADVANCE BY 5 SECONDS)", "window_start", "window_end") == [(0, 10000), (5000, 15000)]
+def test_tumbling_and_hopping_bounds(spark):
+    e = Engine(spark, "pipeline").register("visits", spark.createDataFrame([("north", 3, 61_000, 1), ("north", 4, 89_999, 2), ("north", 5, 90_000, 3)], "gate string, people long, _ts long, _seq long"))
+    sql = "SELECT gate, SUM(people) AS people FROM visits GROUP BY gate WINDOW TUMBLING(SIZE 30 SECONDS)"
+    assert run(e, sql, "gate", "people", "window_start", "window_end") == [("north", 5, 90_000, 120_000), ("north", 7, 60_000, 90_000)]
+    hopping = "SELECT COUNT(*) AS n FROM visits WHERE people = 4 WINDOW HOPPING(SIZE 1 MINUTES, ADVANCE BY 20 SECONDS)"
+    assert run(e, hopping, "window_start") == [(40_000,), (60_000,), (80_000,)]
 
 
 def test_windows_before_the_epoch(spark):
@@ -66,8 +72,75 @@ def test_session_ends_at_last_event(spark):
 
 def test_late_rows_are_dropped(spark):
     rows = spark.createDataFrame([(10000, 1), (5000, 2), (9500, 3)], "_ts long, _seq long")
-    e = Engine(spark, "pipeline", lateness=1000).register("t", rows)
+    e = Engine(spark, "pipeline").register("t", rows)
     assert run(e, "SELECT COUNT(*) AS n FROM t WINDOW TUMBLING(SIZE 1 HOURS)", "n") == [(2,)]
+    assert run(Engine(spark, "pipeline", lateness=None).register("t", rows), "SELECT COUNT(*) AS n FROM t WINDOW TUMBLING(SIZE 1 HOURS)", "n") == [(3,)]
+    ordered = Engine(spark, "pipeline").register("t", rows, clock="log")
+    assert run(ordered, "SELECT COUNT(*) AS n FROM t WINDOW TUMBLING(SIZE 1 HOURS)", "n") == [(3,)]
+
+
+def test_one_watermark_over_the_sources_of_a_statement(spark):
+    a = spark.createDataFrame([("x", 1_000, 1), ("x", 5_000, 4)], "k string, _ts long, _seq long")
+    b = spark.createDataFrame([("x", 9_000, 2), ("x", 8_500, 3)], "k string, _ts long, _seq long")
+    e = Engine(spark, "pipeline").register("a", a).register("b", b)
+    # The second row of a is late by b's watermark; alone it isn't.
+    assert len(run(e, "SELECT a.k AS k FROM a JOIN b WITHIN 1 HOURS ON a.k = b.k", "k")) == 2
+    assert len(run(e, "SELECT k FROM a", "k")) == 2
+
+
+def test_insert_into_writes_to_the_named_sink(spark, trades, tmp_path):
+    sink = FileSink(f"{tmp_path}/{{name}}", "csv", columns=["symbol", "none"], name="out")
+    e = Engine(spark).register("trades", trades).sink("out", sink).sink("back", LoopbackSink(None, "echo", f"{tmp_path}/echo", depth=2))
+    e.sinks["back"].engine = e
+    assert e.validate("INSERT INTO nope SELECT symbol FROM trades")[0].message == "Unknown sink 'nope'"
+    for text in ("INSERT trades SELECT symbol FROM trades", "INSERT INTO SELECT symbol FROM trades", "INSERT INTO out VALUES (1)"):
+        assert e.validate(text)
+    e.query("INSERT INTO out SELECT symbol, qty FROM trades WHERE qty > 5")
+    e.query("-- twice\nINSERT INTO out\nSELECT symbol FROM trades WHERE price = 5")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/out/*")
+    assert got.columns == ["symbol", "none"] and sorted(r.symbol for r in got.collect()) == ["AAPL", "AAPL", "MSFT"] and sink.dropped == 1
+    e.query("INSERT INTO back SELECT symbol FROM trades WHERE price = 5")
+    e.query("INSERT INTO back SELECT symbol, _step FROM echo")
+    e.query("INSERT INTO back SELECT symbol, _step FROM echo")
+    assert run(e, "SELECT symbol, _step FROM echo", "_step") == [(1,), (2,), (2,)]
+    sent = []
+    e.sink("call", CallSink(lambda rows: sent.extend(rows.collect()))).query("INSERT INTO call SELECT symbol FROM trades")
+    assert len(sent) == 3
+
+
+def test_tables_take_weights_and_retractions(spark):
+    rows = [("a", 1, 1, 1, 1), ("a", 1, 1, 2, -1), ("b", 2, 2, 3, 2), ("c", 3, 3, 4, -1)]
+    e = Engine(spark).register("t", spark.createDataFrame(rows, "k string, v long, _ts long, _seq long, _weight long"))
+    assert run(e, "SELECT k, v FROM t", "k", "v") == [("b", 2), ("b", 2)]
+    rows = [("a", 1, 5, 1, None), ("a", None, 0, 2, True), ("b", 7, 1, 3, None), ("b", 8, 2, 4, None)]
+    e.register("u", spark.createDataFrame(rows, "k string, v long, _ts long, _seq long, _retract boolean"))
+    assert run(e, "SELECT k, v FROM u WHERE v > 0 LATEST BY k", "k", "v") == [("b", 8)]
+
+
+def test_names_that_meet_and_statements_that_fail(spark):
+    e = Engine(spark).register("a", spark.createDataFrame([(1, 2)], "k long, b_c long")).register("a_b", spark.createDataFrame([(1, 3)], "k long, c long"))
+    assert run(e, "SELECT a.b_c AS x, a_b.c AS y FROM a JOIN a_b ON a.k = a_b.k", "x", "y") == [(2, 3)]
+    assert "named 'k'" in e.validate("SELECT k, b_c AS k FROM a")[0].message
+    assert "nested" in e.validate(f"SELECT {'(' * 400}k{')' * 400} AS x FROM a")[0].message
+    j = Engine(spark).register("t", spark.createDataFrame([('{"a": 1}',)], "p string"), json=("p",))
+    for x in ("p + 1", "1 * p", "p -> 'a' < 2", "p = 1"):
+        assert "JSON" in j.validate(f"SELECT {x} AS v FROM t")[0].message
+    assert j.validate("SELECT (p = NULL) AS v FROM t") == [] and run(j, "SELECT p ->> 'a' AS v FROM t", "v") == [("1",)]
+
+
+def test_elements_of_arrays_are_read_by_kind(spark):
+    legs = '[{"q":1.5,"s":"x","o":{"z":[1]},"n":null},{"q":"7"},5,"t"]'
+    e = Engine(spark).register("t", spark.createDataFrame([(legs,)], "legs string"), json=("legs",))
+    q = "SELECT x -> 'q' AS q, x ->> 'q' AS t, x ->> 's' AS s, x -> 'o' -> 'z' ->> 0 AS z, x ->> 'n' AS n, x AS whole, SUM_OF AS one FROM (SELECT legs, 1 AS SUM_OF FROM t) d, UNNEST(d.legs) AS x"
+    got = run(e, q, "q", "t", "s", "z", "n", "whole")
+    assert sorted(got, key=repr) == sorted([("1.5", "1.5", "x", "1", None, '{"n":null,"o":{"z":[1]},"q":1.5,"s":"x"}'), ('"7"', "7", None, None, None, '{"q":"7"}'), (None, None, None, None, None, "5"), (None, None, None, None, None, '"t"')], key=repr)
+    assert run(e, "SELECT SUM(x -> 'q') AS s, MAX(x -> 'q') AS m FROM t, UNNEST(t.legs) AS x", "s", "m") == [(1.5, 1.5)]
+
+
+def test_normal_distribution_against_the_library(spark):
+    xs = [k / 7 for k in range(-70, 71)] + [0.0, 1e-9, 37.0, -37.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", quant.cdf(F.col("x")).alias("p")).collect()
+    assert all(r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-13, abs=1e-300) for r in got)
 
 
 def test_expression_semantics(spark, trades):
@@ -161,8 +234,6 @@ def test_interval_join_is_no_cartesian_product_and_scans_prune(spark):
 
 
 def test_registered_functions(spark, trades):
-    from pyspark.sql import functions as F
-
     from sluice.functions.registry import Aggregate, Scalar
 
     e = Engine(spark).register("trades", trades)
