@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -88,7 +89,7 @@ def association(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all the ranges, one after another."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
@@ -121,11 +122,11 @@ class BlockMaxIndex:
         terms, blocks = terms[order], self.at // block
         # Runs of postings of one term in one block.
         start = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(blocks) != 0)]) if len(terms) else np.zeros(0, np.int64)
-        self.start, self.length = start, np.diff(np.r_[start, len(terms)])
-        self.block = blocks[start]
+        self.start, self.length = start.astype(np.int32), np.diff(np.r_[start, len(terms)]).astype(np.int32)
+        self.block = blocks[start].astype(np.int16)
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         # A term's runs, by term.
-        self.runs = np.searchsorted(terms[start], np.arange(n_terms + 1))
+        self.runs = np.searchsorted(terms[start], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (terms, weights): ``(product, number)`` of the k largest positive products, largest first, ties to the smaller number."""
@@ -336,12 +337,17 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<example: long, cosine: double>>>")
     def judge(texts: pa.Array) -> pa.Array:
-        out = shared.value.scores(texts.to_pylist())
-        flat = [e for _, found in out for e in found]
-        near = pa.StructArray.from_arrays([pa.array([i for _, i in flat], pa.int64()), pa.array([p for p, _ in flat], pa.float64())], fields=list(EVIDENCE.field("evidence").type.value_type))
-        ends = np.cumsum([0, *(len(found) for _, found in out)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), near)
-        return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), lists], names=["score", "evidence"])
+        # A few texts at a time: what is known of all of them at once are numbers in compact arrays.
+        scores, ends, examples, cosines = array("d"), array("i", [0]), array("q"), array("d")
+        for at in range(0, len(texts), BATCH):
+            for score, found in shared.value.scores(texts.slice(at, BATCH).to_pylist()):
+                scores.append(score)
+                cosines.extend(p for p, _ in found)
+                examples.extend(i for _, i in found)
+                ends.append(len(examples))
+        near = pa.StructArray.from_arrays([pa.array(np.array(examples)), pa.array(np.array(cosines))], fields=list(EVIDENCE.field("evidence").type.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), near)
+        return pa.StructArray.from_arrays([pa.array(np.array(scores)), lists], names=["score", "evidence"])
 
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"))
     judged = packed.withColumn("j", judge(F.col("record").getField(text_col).cast("string")))
