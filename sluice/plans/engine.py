@@ -28,6 +28,8 @@ from ..sql.ast import Agg, Bin, Cast, Col, Exists, Fn, If, InQuery, Item, Join,
 from ..sql.parser import parse, references, sources, split_sink
 
 META = ("_ts", "_source", "_seq")
+#: The event time of a stream's rows, with its watermark.
+TIME = "_time"
 #: The clock of a relation that doesn't say in which order its rows arrived.
 UNORDERED = "unordered"
 KINDS = {"string": "string", "bigint": "long", "int": "long", "smallint": "long", "tinyint": "long", "double": "double", "float": "double", "boolean": "bool"}
@@ -101,7 +103,7 @@ class Engine:
 
         Rows with ``_weight`` or ``_retract`` are changes: in a table the rows that they leave are seen (a
         statement with ``LATEST BY`` sees retractions of keys).  ``clock``: see ``Relation``."""
-        changes = [c for c in (zset.W, "_retract") if c in df.columns]
+        changes = [c for c in (zset.W, "_retract", TIME) if c in df.columns]
         kinds = {c: "json" if c in json else KINDS.get(t) for c, t in df.dtypes if c not in (*META, *changes)}
         bad = [c for c, k in kinds.items() if k is None]
         if bad:
@@ -192,6 +194,12 @@ class Engine:
         out = found.df.select(*[f"`{c}`" for c in found.kinds], *extra, *meta)
         return out if sink is None else sink.write(out)
 
+    def maintain(self, sql: str, path: str | None = None):
+        """The statement as a maintained view over changes of its relations: see ``maintain.Maintained``."""
+        from .maintain import Maintained
+
+        return Maintained(self, sql, path)
+
     def explain(self, sql: str) -> str:
         return self.query(sql)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
@@ -261,8 +269,9 @@ class Engine:
         fields = {(a, f): (f"{a}.{f}", k) for f, k in rel.kinds.items()}
         cols = [F.col(f"`{f}`").alias(c) for (_, f), (c, _) in fields.items()]
         fields[a, "_ts"] = (f"{a}._ts", "long")
-        gone = ["_retract"] if keyed and "_retract" in rel.df.columns else []
-        return Working(rel.df.select(*cols, F.col("_ts").alias(f"{a}._ts"), "_ts", "_seq", *gone), fields, [a])
+        more = ["_retract"] if keyed and "_retract" in rel.df.columns else []
+        more += [TIME] if TIME in rel.df.columns else []
+        return Working(rel.df.select(*cols, F.col("_ts").alias(f"{a}._ts"), "_ts", "_seq", *more), fields, [a])
 
     def select(self, q: Select, keys: list | None = None) -> Relation:
         """``keys``: inner columns that a correlated subquery is grouped by."""
@@ -343,8 +352,8 @@ class Engine:
         r = self.scan(j.source)
         if set(w.aliases) & set(r.aliases):
             raise SqlError(f"Duplicate alias '{j.source.alias}'")
-        left = w.df.withColumnsRenamed({"_ts": "_lts", "_seq": "_lseq"})
-        right = r.df.withColumnsRenamed({"_ts": "_rts", "_seq": "_rseq"})
+        left = w.df.withColumnsRenamed({"_ts": "_lts", "_seq": "_lseq", TIME: "_ltime"})
+        right = r.df.withColumnsRenamed({"_ts": "_rts", "_seq": "_rseq", TIME: "_rtime"})
         both = Working(left, {**w.fields, **r.fields}, [*w.aliases, *r.aliases])
         cond, drop = None, []
         if j.on is not None:
@@ -354,7 +363,14 @@ class Engine:
             for c in conjuncts(j.on):
                 x = B.truth(self.expr(c, both))
                 cond = x if cond is None else cond & x
-        if j.within is not None:
+        if left.isStreaming or right.isStreaming:
+            # The state of a stream's join is bounded by a range of event times.
+            if j.within is None or j.kind == "cross":
+                raise SqlError("A stream's join needs WITHIN and an equality")
+            span = F.expr(f"INTERVAL '{j.within // 1000}.{j.within % 1000:03d}' SECOND")
+            near = (F.col("_rtime") >= F.col("_ltime") - span) & (F.col("_rtime") <= F.col("_ltime") + span)
+            df = left.join(right, cond & near, {"full": "full_outer"}.get(j.kind, j.kind)).drop("_ltime", "_rtime")
+        elif j.within is not None:
             df = self._near(left, right, cond, j)
         elif cond is None:
             df = left.crossJoin(right)
@@ -406,6 +422,8 @@ class Engine:
             holds = B.truth(self.expr(c, w))
             # Retractions of keys have nothing but the key and pass every condition.
             holds = holds | F.coalesce(F.col("_retract"), F.lit(False)) if "_retract" in w.df.columns else holds
+            # Rows that a stream's filter drops still move its watermark: a condition on the event time stays above it.
+            holds = F.when(F.col(TIME).isNotNull(), holds) if TIME in w.df.columns else holds
             w = Working(w.df.filter(holds), w.fields, w.aliases)
         return w
 
@@ -570,10 +588,12 @@ class Engine:
                     aggs[node] = (f"_a{len(aggs)}", kind)
                     built.append((f"_a{len(aggs) - 1}", make))
         bounds: list[str] = []
-        if q.window:
+        if q.window and not df.isStreaming:
             df, bounds = self._windowed(df, q.window)
         by = [*names, *bounds]
-        if q.window and q.window.kind == "session":
+        if q.window and df.isStreaming:
+            final, bounds = self._streamed(df, names, q, built), ["_wstart", "_wend"]
+        elif q.window and q.window.kind == "session":
             gap = q.window.size
             if q.emit_changes:
                 # Steps need the session of each row; its number is the count of gaps before it.
@@ -614,6 +634,26 @@ class Engine:
         label = ",".join(a for a in w.aliases if not a.startswith("_sub"))
         return Relation(final.select(*out, *extra, ts.alias("_ts"), F.lit(label).alias("_source"), "_seq"), kinds)
 
+    @staticmethod
+    def _streamed(df: DataFrame, names: list[str], q: Select, built: list) -> DataFrame:
+        """Final rows of a stream's windows, each when the watermark has passed it."""
+        if q.emit_changes:
+            raise SqlError("EMIT CHANGES of a stream isn't supported")
+        if TIME not in df.columns:
+            raise SqlError("A window over a stream's join needs a view between them")
+        size, step = q.window.size, q.window.advance or q.window.size
+        aggs = [F.max("_seq").alias("_seq"), *[m(None).alias(c) for c, m in built]]
+        if q.window.kind == "session":
+            # Sessions of a stream need a key.
+            w = F.session_window(TIME, f"{size} milliseconds").alias("_w")
+            out = df.withColumn("_all", F.lit(1)).groupBy("_all", *names, w).agg(*aggs).drop("_all")
+            return out.withColumn("_wstart", F.unix_millis("_w.start")).withColumn("_wend", F.unix_millis("_w.end") - size).drop("_w")
+        gaps = step > size
+        rows = df.filter(F.pmod("_ts", F.lit(step)) < size) if gaps else df
+        w = F.window(TIME, f"{step if gaps else size} milliseconds", f"{step} milliseconds").alias("_w")
+        out = rows.groupBy(*names, w).agg(*aggs)
+        return out.withColumn("_wstart", F.unix_millis("_w.start")).withColumn("_wend", F.col("_wstart") + size).drop("_w")
+
     def _windowed(self, df: DataFrame, window) -> tuple[DataFrame, list[str]]:
         ts, size = F.col("_ts"), window.size
         if window.kind == "session":
@@ -638,7 +678,8 @@ class Engine:
             return (lambda spec: over(own.build(x.col), spec)), own.kind
         if node.name == "count":
             if node.distinct:
-                return (lambda spec: F.count_distinct(x.col) if spec is None else F.size(F.collect_set(x.col).over(spec)).cast("bigint")), "long"
+                alone = F.size(F.collect_set(x.col)).cast("bigint") if w.df.isStreaming else F.count_distinct(x.col)
+                return (lambda spec: alone if spec is None else F.size(F.collect_set(x.col).over(spec)).cast("bigint")), "long"
             return (lambda spec: over(F.count(x.col), spec)), "long"
         if node.name in ("min", "max"):
             f = F.min if node.name == "min" else F.max

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search, zset
 from ..sources import formats, sinks
+from ..storage import fresh_path
 from ..streaming import run as streaming
 from .catalog import EV, ev, load
 
@@ -114,8 +114,7 @@ def _stream(spark, sf_dir) -> DataFrame:
 
 
 def _place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def stream_tumbling(spark, sf_dir):

@@ -36,7 +36,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], within_ms:
     """Rows of equal keys at most ``within_ms`` apart; outer rows are padded once the watermark has passed them."""
     a = timed(left).select(*[F.col(c).alias(f"l_{c}") for c in left.columns], F.col("_time").alias("_lt"))
     b = timed(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col("_time").alias("_rt"))
-    span = F.expr(f"make_dt_interval(0, 0, 0, {within_ms / 1000})")
+    span = F.expr(f"INTERVAL '{within_ms // 1000}.{within_ms % 1000:03d}' SECOND")
     cond = (F.col("_rt") >= F.col("_lt") - span) & (F.col("_rt") <= F.col("_lt") + span)
     for k in keys:
         cond = cond & (F.col(f"l_{k}") == F.col(f"r_{k}"))
