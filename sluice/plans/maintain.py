@@ -29,7 +29,7 @@ from ..sql.parser import parse, sources, split_sink
 from ..storage import fresh_path, shared_dir
 from . import engine as E
 
-BUCKETS = 64
+BUCKETS = 32
 COMPACT = 16
 KEY = "_k"
 
@@ -72,7 +72,9 @@ class Store:
             self.schema = one.schema
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        rows.withColumn("_b", F.pmod(KEY, F.lit(self.buckets))).write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/{name}")
+        # A bucket's rows are one file of the batch, or some large ones.
+        dealt = rows.withColumn("_b", F.pmod(KEY, F.lit(self.buckets))).repartition("_b")
+        dealt.write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/{name}")
 
     def append(self, rows: DataFrame, number: int) -> None:
         self.schema = self.schema or rows.schema
@@ -217,7 +219,7 @@ class Keyed(Step):
         for rows in deltas.values():
             own = rows.select(KEY)
             touched = own if touched is None else touched.union(own)
-        touched = touched.distinct().checkpoint()
+        touched = touched.distinct()
         before, after = {}, {}
         for name, (child, _, _) in self.inputs.items():
             held = self.stores[name].of(touched, number)
@@ -253,7 +255,7 @@ class Latest(Step):
         numbers = [False] * len(self.q.latest_by)
         typed = rows.select(*[f"`{c}`" for c in names], weight.alias(W), gone.alias("_retract"))
         keyed = self.view.keyed(typed, alias, "_in", child.kinds, self.q.latest_by, numbers).checkpoint()
-        touched = keyed.select(KEY).distinct().checkpoint()
+        touched = keyed.select(KEY).distinct()
         held = self.store.of(touched, number)
         asserted = net(keyed.filter("not _retract").drop("_retract"))
         before = bag(held).drop(KEY) if held is not None else self.view.empty(child.kinds)

@@ -1,72 +1,10 @@
-"""Continuous lowering: the same semantics on Structured Streaming.
-
-Windows and interval joins are native stateful operators with watermarks; what a
-view must replace (``LATEST BY``, exact distinct counts) is merged per micro-batch."""
+"""Reading tables in files as streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-LATENESS = "1 second"
 
 
 def stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", pattern)
     return reader.parquet(path)
-
-
-def timed(df: DataFrame, ts: str = "_ts", lateness: str = LATENESS) -> DataFrame:
-    return df.withColumn("_time", F.timestamp_millis(ts)).withWatermark("_time", lateness)
-
-
-def tumbling(df: DataFrame, size_ms: int, by: list[str], aggs: list, hop_ms: int | None = None) -> DataFrame:
-    """Final rows of closed windows, with the bounds in milliseconds."""
-    w = F.window("_time", f"{size_ms} milliseconds", f"{hop_ms or size_ms} milliseconds").alias("_w")
-    out = timed(df).groupBy(w, *by).agg(*aggs)
-    return out.withColumn("window_start", F.unix_millis("_w.start")).withColumn("window_end", F.unix_millis("_w.end")).drop("_w")
-
-
-def session(df: DataFrame, gap_ms: int, by: list[str], aggs: list) -> DataFrame:
-    out = timed(df).withColumn("_all", F.lit(1)).groupBy(F.session_window("_time", f"{gap_ms} milliseconds").alias("_w"), "_all", *by).agg(*aggs)
-    return out.withColumn("window_start", F.unix_millis("_w.start")).withColumn("window_end", F.unix_millis("_w.end") - gap_ms).drop("_w", "_all")
-
-
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int, how: str = "inner") -> DataFrame:
-    """Rows of equal keys at most ``within_ms`` apart; outer rows are padded once the watermark has passed them."""
-    a = timed(left).select(*[F.col(c).alias(f"l_{c}") for c in left.columns], F.col("_time").alias("_lt"))
-    b = timed(right).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col("_time").alias("_rt"))
-    span = F.expr(f"INTERVAL '{within_ms // 1000}.{within_ms % 1000:03d}' SECOND")
-    cond = (F.col("_rt") >= F.col("_lt") - span) & (F.col("_rt") <= F.col("_lt") + span)
-    for k in keys:
-        cond = cond & (F.col(f"l_{k}") == F.col(f"r_{k}"))
-    return a.join(b, cond, {"left": "left_outer", "right": "right_outer", "full": "full_outer"}.get(how, how)).drop("_lt", "_rt")
-
-
-def run_to_end(df: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Replays what is there and returns the result from memory; for tests and small tables."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
-def maintain_latest(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
-    """``LATEST BY`` as a stored table that each micro-batch replaces by a merged version.
-
-    A version is a folder named by its batch; replaying a batch rewrites the same folder."""
-    spark = df.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        row = F.struct(*batch.columns)
-        rows = batch
-        if number > 0:
-            rows = s.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-        best = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max_by(row, F.struct("_ts", "_seq")).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(f"{path}/v={number}")
-        s.createDataFrame([(number,)], "v long").write.mode("overwrite").parquet(f"{path}/head")
-
-    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    head = spark.read.parquet(f"{path}/head").first()["v"]
-    return spark.read.schema(df.schema).parquet(f"{path}/v={head}")

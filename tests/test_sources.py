@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.sources import formats, ingest, sinks
-from sluice.streaming import run as streaming
 
 
 def test_csv_with_sniffed_delimiter(spark, tmp_path):
@@ -67,34 +66,6 @@ def test_dedup_keeps_first_arrival(spark):
     assert sorted(tuple(r) for r in formats.dedup(df, ["k"]).select("k", "v").collect()) == [("a", 1), ("b", 5)]
 
 
-@pytest.fixture
-def landing(spark, tmp_path):
-    for i, rows in enumerate([[("a", 1000, 1), ("b", 2000, 2)], [("a", 11_000, 3)], [("a", 40_000, 4)]]):
-        spark.createDataFrame(rows, "k string, _ts long, _seq long").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
-    schema = spark.read.parquet(f"{tmp_path}/in0").schema
-    return f"{tmp_path}/in*", schema, tmp_path
-
-
-def test_streaming_windows_equal_replay(spark, landing):
-    path, schema, tmp = landing
-    df = streaming.tumbling(streaming.stream(spark, path, schema), 10_000, ["k"], [F.count("*").alias("n")])
-    out = streaming.run_to_end(df, f"{tmp}/cp", "closed")
-    assert sorted((r.k, r.n, r.window_start, r.window_end) for r in out.collect()) == [("a", 1, 0, 10_000), ("a", 1, 10_000, 20_000), ("b", 1, 0, 10_000)]
-
-
-def test_streaming_interval_join(spark, landing):
-    path, schema, tmp = landing
-    a, b = streaming.stream(spark, path, schema), streaming.stream(spark, path, schema)
-    out = streaming.run_to_end(streaming.interval_join(a, b, ["k"], 10_000), f"{tmp}/cp", "joined")
-    assert out.count() == 6
-
-
-def test_streaming_latest_by_equals_batch(spark, landing):
-    path, schema, tmp = landing
-    out = streaming.maintain_latest(streaming.stream(spark, path, schema), ["k"], f"{tmp}/view", f"{tmp}/cp")
-    assert sorted((r.k, r._seq) for r in out.collect()) == [("a", 4), ("b", 2)]
-
-
 def test_generators_are_seeded_and_partition_free(spark):
     from sluice.sources import generators as g
 
