@@ -2,30 +2,34 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` vectors) on the driver; every
 row is then put into its leaf.  A query walks the tree best bin first: a priority
-queue holds nodes by the inner product of query and centroid, and the leaves come
+queue holds nodes by the product that the best of their rows can be expected to have, that is query times centroid
+and ``REACH`` deviations of the node's spread in the query's direction; the leaves come
 out in the order in which they are to be visited.  How many are visited is
 calibrated: for a bounded set of queries the true neighbours over all rows are
 found by brute force, and visits widen until their recall reaches ``TARGET``.
 
-Leaves meet the queries that visit them in chunks of both sides, so neither a
-full leaf nor a popular one is held by a task.  Equal vectors of the whole table
+Neighbouring leaves stand in groups of about ``CHUNK`` vectors.  A query goes to a group once, with the leaves that
+it visits there, and meets the vectors of just these leaves; a group with more vectors or queries than a chunk is dealt to
+several tasks, so neither a full leaf nor a popular one is held by one.  The best of each group are cut to the best of all
+by ranks, partly before they are shuffled.  Equal vectors of the whole table
 stand in one row with the smallest ids that can be among a query's nearest, before
-anything is sampled, calibrated or searched, and equal queries are searched once.  Scores are inner products of the original vectors in double precision.
+anything is sampled, calibrated or searched, and equal queries are searched once.  Scores are inner products of the original
+vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do those of another length than most (of equally
-many the shorter); null ids take no part; ties go to the smaller id; rows that repeat id and
+components take no part; nor do those of another length than most (of equally
+many the shorter), of which a warning tells the number; null ids take no part; ties go to the smaller id; rows that repeat id and
 vector are one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import warnings
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, staged, table
@@ -33,14 +37,15 @@ from .common import cut, staged, table
 K = 20
 SAMPLE = 32768
 BRANCH = 8
-#: Leaves aimed at, for each square root of the rows, and the least sampled vectors of one.
-SPREAD = 0.25
-LEAF = 16
+#: Sampled vectors of a leaf, and deviations by which the best row of a node is expected to lie above its mean.
+LEAF = 24
+REACH = 2.75
 #: Queries that calibrate, and the recall that they must reach.
 CALIBRATION = 256
 TARGET = 0.95
-#: Vectors, and visits, in a chunk of a leaf.
+#: Vectors, and queries, in a chunk; candidates of a task before they are cut to the best.
 CHUNK = 8192
+PENDING = 1 << 20
 SEED = 17
 
 
@@ -66,6 +71,14 @@ class Tree:
                 self.children.append([])
                 self.leaf_of.append(-1)
         self.matrix = np.stack(self.centroids)
+        self.spread = np.zeros(len(self.centroids))
+        todo = [(0, sample)]
+        while todo:
+            node, rows = todo.pop()
+            self.spread[node] = np.sqrt(((rows - self.matrix[node]) ** 2).sum(axis=1).mean() / rows.shape[1])
+            if self.children[node]:
+                near = self._nearest(rows, self.matrix[self.children[node]])
+                todo += [(child, rows[near == c]) for c, child in enumerate(self.children[node]) if (near == c).any()]
 
     @staticmethod
     def _split(rows: np.ndarray, branch: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,7 +108,7 @@ class Tree:
 
     def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
         """The first leaves of a best-bin-first walk."""
-        score = self.matrix @ query
+        score = self.matrix @ query + REACH * np.sqrt(query @ query) * self.spread
         heap, out = [(0.0, 0)], []
         while heap and len(out) < visits:
             _, node = heapq.heappop(heap)
@@ -124,8 +137,12 @@ def _valid(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, in
         & F.exists(x, lambda v: v != 0)
     )
     found = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(good)
-    sizes = found.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dimension = sizes[0]["d"] if sizes else 0
+    sizes = found.groupBy(F.size("vector").alias("d")).count()
+    first = sizes.orderBy(F.desc("count"), "d").limit(1).collect()
+    dimension = first[0]["d"] if first else 0
+    odd = sizes.filter(F.col("d") != dimension).agg(F.sum("count")).first()[0]
+    if odd:
+        warnings.warn(f"{odd} vectors have another length than {dimension} and take no part", stacklevel=3)
     return found.filter(F.size("vector") == dimension), dimension
 
 
@@ -203,33 +220,83 @@ def _calibrated(index: DataFrame, queries: list[tuple[int, np.ndarray]], tree: T
     return int(np.sort(ranks)[min(wanted - 1, int(np.ceil(target * wanted)) - 1)]) + 1
 
 
+def _cut(q: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates are among the k best of their query; what rounding may have put just below stays."""
+    order = np.lexsort((-score, q))
+    q, score = q[order], score[order]
+    start = np.flatnonzero(np.r_[True, np.diff(q) != 0])
+    length = np.diff(np.r_[start, len(q)])
+    least = score[start + np.minimum(length, k) - 1]
+    least = np.where(length > k, least - 1e-9 * (1 + np.abs(least)), -np.inf)
+    return order[score >= np.repeat(least, length)]
+
+
 def _search(dimension: int, k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out_ids, out_best = [], []
+        out_ids: list[int] = []
+        out_best: list[list[dict]] = []
         if left.num_rows and right.num_rows:
+            left = left.sort_by("leaf")
+            leaf = left.column("leaf").to_numpy()
             x = _matrix(left.column("vector").combine_chunks(), dimension)
-            lists = left.column("ids").to_pylist()
-            q = _matrix(right.column("vector").combine_chunks(), dimension)
-            keys = right.column("qid").to_pylist()
-            for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ x.T
-                few = min(k, scores.shape[1] - 1)
-                least = -np.partition(-scores, few, axis=1)[:, few]
-                for n in range(len(scores)):
-                    # Rounding differs within a matrix product: what is near the border is kept, and scored anew alike.
-                    near = np.flatnonzero(scores[n] >= least[n] - 1e-9 * (1 + abs(least[n])))
-                    exact = (x[near] * q[at + n]).sum(axis=1)
-                    ids = np.array([i for a in near.tolist() for i in lists[a]])
-                    repeated = np.repeat(exact, [len(lists[a]) for a in near.tolist()])
-                    top = _top(repeated, ids, k + 1)
-                    out_ids.append(keys[at + n])
-                    out_best.append([{"s": -float(repeated[t]), "id": int(ids[t])} for t in top])
+            queries = _matrix(right.column("vector").combine_chunks(), dimension)
+            asked = right.column("leaves").combine_chunks()
+            who = np.repeat(np.arange(len(queries)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            wanted = asked.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(wanted, kind="stable")
+            who, wanted = who[order], wanted[order]
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            pending = 0
+
+            def cut() -> None:
+                nonlocal held, pending
+                q, row, score = (np.concatenate(c) for c in zip(*held))
+                best = _cut(q, row, score, k + 1)
+                held, pending = [(q[best], row[best], score[best])], 0
+
+            starts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0])
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)]):
+                own = who[np.searchsorted(wanted, leaf[low]) : np.searchsorted(wanted, leaf[low], "right")]
+                if not len(own):
+                    continue
+                score = queries[own] @ x[low:high].T
+                held.append((np.repeat(own, high - low), np.tile(np.arange(low, high), len(own)), score.ravel()))
+                pending += score.size
+                if pending > PENDING:
+                    cut()
+            if held:
+                cut()
+                q, row, _ = held[0]
+                lists, keys = left.column("ids").to_pylist(), right.column("qid").to_pylist()
+                # Products are rounded differently within a matrix product: what is near the border is scored anew alike.
+                exact = np.concatenate([(x[row[a : a + CHUNK]] * queries[q[a : a + CHUNK]]).sum(axis=1) for a in range(0, len(q), CHUNK)])
+                ids = np.array([i for r in row.tolist() for i in lists[r]])
+                repeated = np.repeat(np.arange(len(row)), [len(lists[r]) for r in row.tolist()])
+                edge = np.searchsorted(q[repeated], np.arange(len(queries) + 1))
+                for n in np.unique(q).tolist():
+                    mine, score = ids[edge[n] : edge[n + 1]], exact[repeated[edge[n] : edge[n + 1]]]
+                    top = _top(score, mine, k + 1)
+                    out_ids.append(keys[n])
+                    out_best.append([{"s": -float(score[t]), "id": int(mine[t])} for t in top])
         kind = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
         return pa.table({"qid": pa.array(out_ids, pa.int64()), "best": pa.array(out_best, kind)})
 
     return run
 
 
+def grouped_leaves(sizes: dict[int, int], chunk: int = CHUNK) -> tuple[dict[int, int], dict[int, int]]:
+    """Leaf to group, and group to the chunks of its vectors: runs of leaves of about ``chunk`` vectors."""
+    group_of: dict[int, int] = {}
+    held: dict[int, int] = {}
+    group = 0
+    for leaf in sorted(sizes):
+        if held.get(group) and held[group] + sizes[leaf] > chunk:
+            group += 1
+        group_of[leaf] = group
+        held[group] = held.get(group, 0) + sizes[leaf]
+    return group_of, {g: -(-n // chunk) for g, n in held.items()}
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, target: float = TARGET
 ) -> DataFrame:
@@ -241,10 +308,9 @@ def nearest_neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     bound = max(LEAF, min(SAMPLE, (1 << 25) // dimension))
     held = staged(_distinct(valid, dimension, kind, k), "vectors")
-    count = held.count()
     hashed = (F.xxhash64(F.lit(SEED), x) for x in (F.col("ids")[0], "vector"))
     rows = held.orderBy(*hashed).limit(bound).select("vector").toArrow().column(0).combine_chunks()
-    tree = Tree(_matrix(rows, dimension), leaf=max(LEAF, int(len(rows) / (SPREAD * count**0.5))))
+    tree = Tree(_matrix(rows, dimension))
     index = staged(_indexed(held, tree, dimension, kind), "ann")
 
     queries = valid.filter(is_query(F.col("id")))
@@ -252,35 +318,46 @@ def nearest_neighbours(
     picked = distinct.orderBy(F.xxhash64(F.lit(SEED + 1), "qid"), "qid").limit(CALIBRATION).collect()
     visits = _calibrated(index, [(r["qid"], np.array(r["vector"], dtype=np.float64)) for r in picked], tree, dimension, k, target)
 
-    box = spark.sparkContext.broadcast(tree)
+    # A number for each leaf and each group of leaves: the tree bounds them.
+    group_of, parts_of = grouped_leaves({r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()})
+    box = spark.sparkContext.broadcast((tree, group_of))
 
     def walk(batches):
+        tree, group_of = box.value
         for batch in batches:
-            q = _matrix(batch.column(1), dimension)
-            leaves = [box.value.best_bins(x, visits) for x in q]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))], names=["qid", "vector", "leaves"])
-
-    walked = staged(distinct.select("qid", "vector").mapInArrow(walk, f"qid long, vector {kind}, leaves array<int>"), "visits")
-    stops = walked.select("qid", "vector", F.explode("leaves").alias("leaf"))
-    # Both tables have a row per leaf at most, and the tree's size is bounded.
-    filled = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    asked = stops.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("turns"))
-    chunks = cut(filled.join(F.broadcast(asked), "leaf"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            own: list[int] = []
+            groups, leaves = [], []
+            for n, x in enumerate(_matrix(batch.column(1), dimension) if batch.num_rows else ()):
+                met: dict[int, list[int]] = {}
+                for leaf in tree.best_bins(x, visits):
+                    if leaf in group_of:
+                        met.setdefault(group_of[leaf], []).append(leaf)
+                own += [n] * len(met)
+                groups += met
+                leaves += met.values()
+            taken = pa.array(own, pa.int64())
+            arrays = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "vector", "group", "leaves"])
+
+    stops = staged(distinct.select("qid", "vector").mapInArrow(walk, f"qid long, vector {kind}, group int, leaves array<int>"), "visits")
+    turns_of = {r["group"]: -(-r["count"] // CHUNK) for r in stops.groupBy("group").count().collect()}
+    number = lambda of, c, least=1: F.coalesce(F.get(F.array(*[F.lit(of.get(g, least)) for g in range(max(parts_of, default=0) + 1)]), F.col(c)), F.lit(least))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    grouping = spark.createDataFrame(list(group_of.items()), "leaf int, group int")
     left = (
-        index.join(F.broadcast(chunks), "leaf")
-        .withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
-        .select("leaf", "part", each("turns").alias("turn"), "vector", "ids")
+        index.join(F.broadcast(grouping), "leaf")
+        .filter(number(turns_of, "group", 0) > 0)
+        .withColumn("part", F.pmod(F.xxhash64("vector"), number(parts_of, "group")).cast("int"))
+        .select("group", "part", each(number(turns_of, "group")).alias("turn"), "leaf", "vector", "ids")
     )
-    right = (
-        stops.join(F.broadcast(chunks), "leaf")
-        .withColumn("turn", F.pmod(F.xxhash64("qid"), F.col("turns")).cast("int"))
-        .select("leaf", each("parts").alias("part"), "turn", "vector", "qid")
+    right = stops.withColumn("turn", F.pmod(F.xxhash64("qid"), number(turns_of, "group")).cast("int")).select(
+        "group", each(number(parts_of, "group")).alias("part"), "turn", "vector", "qid", "leaves"
     )
-    keys = ("leaf", "part", "turn")
+    keys = ("group", "part", "turn")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(dimension, k), "qid long, best array<struct<s: double, id: long>>")
-    # A vector stands in one chunk, so the chunks' neighbours are different rows.
-    merged = found.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("all"))
+    # A vector stands in one chunk, so the chunks' neighbours are different rows.  Ranks hold k + 1 rows of a query at a time.
+    ranked = found.select("qid", F.explode("best").alias("b")).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("b.s", "b.id")))
+    merged = ranked.filter(F.col("n") <= k + 1).groupBy("qid").agg(F.sort_array(F.collect_list("b")).alias("all"))
     best = cut(merged.select("qid", F.slice("all", 1, k + 1).alias("best")))
     named = cut(distinct.select("vector", "qid"))
     asked_by = queries.select("id", "vector").join(named, "vector").select("id", "qid").distinct()

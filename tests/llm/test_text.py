@@ -298,6 +298,42 @@ def test_ann_default_recall_on_calibrating_queries(spark):
     assert hits >= 0.95 * 20 * 200, hits / 4000
 
 
+def test_ann_scores_few_rows_of_clustered_data(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)] + 0.35 * rng.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), "g", 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, group string, leaf int")
+    # 64 of 300 queries calibrate; recall is that of the others, too.
+    monkeypatch.setattr(ann, "CALIBRATION", 64)
+    visited = []
+    monkeypatch.setattr(ann, "_calibrated", lambda *a, own=ann._calibrated: visited.append((own(*a), a[2].leaves)) or visited[-1][0])
+    got = {}
+    for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = sum(len(got[q] & set(np.argsort(-score[q])[:20].tolist())) for q in range(0, 6000, 20))
+    visits, leaves = visited[0]
+    assert hits >= 0.9 * 20 * 300 and visits < 0.2 * leaves
+
+
+def test_leaves_stand_in_groups_of_a_chunk():
+    group_of, parts = ann.grouped_leaves({3: 5, 0: 4, 1: 4, 2: 30, 5: 1}, chunk=10)
+    assert group_of == {0: 0, 1: 0, 2: 1, 3: 2, 5: 2} and parts == {0: 1, 1: 3, 2: 1}
+
+
+def test_ann_chunks_of_any_size_give_the_same(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(400, 8)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = []
+    for chunk, pending in ((8192, 1 << 20), (50, 100)):
+        monkeypatch.setattr(ann, "PENDING", pending)
+        monkeypatch.setattr(ann, "grouped_leaves", lambda sizes, chunk=chunk, own=ann.grouped_leaves: own(sizes, chunk))
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        out.append(sorted(tuple(r) for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0, target=1.0).collect()))
+        monkeypatch.undo()
+    assert out[0] == out[1] and len(out[0]) == 400
+
+
 def test_ann_rows_repeated_over_partitions_hold_one_place(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 8))
