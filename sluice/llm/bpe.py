@@ -13,13 +13,12 @@ Decoding gathers from one byte string with an offset table.
 
 Defined results: a null text is empty; empty texts have no ids; the string of an
 added token is that token, as in the tokenizers library; decoding replaces byte
-sequences that aren't UTF-8.  Texts of any length are encoded whole: pieces are
-taken from a text one at a time, and the memory of pieces is bounded.
+sequences that aren't UTF-8.  Texts of any length are encoded whole: of a text over
+``LONG_TEXT`` characters ``FLUSH`` pieces are held at a time, and the memory of known pieces is bounded.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import json
 from functools import lru_cache
@@ -41,6 +40,9 @@ PIECES = (
 )
 #: Pieces that a process remembers.
 REMEMBERED = 400_000
+#: Characters from which a text's pieces are taken a few at a time, and how many.
+LONG_TEXT = 1 << 18
+FLUSH = 1 << 16
 NONE = 1 << 30
 
 
@@ -84,7 +86,7 @@ class Bpe:
         self.longest.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.added = added
-        self.findall = regex.compile(PIECES).findall
+        self.pieces = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         size = max([*self.ids, *added.values()]) + 1
         text_of = [b""] * size
@@ -96,7 +98,6 @@ class Bpe:
         np.cumsum([len(x) for x in text_of], out=self.offsets[1:])
         self.blob = np.frombuffer(b"".join(text_of), dtype=np.uint8)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.known_text: dict[str, str] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging in rank order keeps the border between two tokens."""
@@ -167,27 +168,41 @@ class Bpe:
     def _learn(self, piece: str) -> tuple[int, ...]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-            self.known_text.clear()
         ids = self.piece(piece.encode())
         if len(piece) <= 256:
             self.known[piece] = ids
         return ids
 
+    def _run(self, text: str):
+        """The pieces of a text without added tokens."""
+        if len(text) <= LONG_TEXT:
+            return self.pieces.findall(text)
+        return (m[0] for m in self.pieces.finditer(text))
+
     def runs(self, text: str):
         """The pieces of a text; added tokens as their id."""
         if self.special is None or not any(x in text for x in self.added):
-            yield from self.findall(text)
-            return
-        for part in self.special.split(text):
-            if part in self.added:
-                yield self.added[part]
-            elif part:
-                yield from self.findall(part)
+            return self._run(text)
+        return self._between(text)
+
+    def _between(self, text: str):
+        at = 0
+        for m in self.special.finditer(text):
+            yield from self._run(text[at : m.start()])
+            yield self.added[m[0]]
+            at = m.end()
+        yield from self._run(text[at:])
 
     def encode(self, text: str) -> np.ndarray:
-        known, learn = self.known, self._learn
-        parts = [(known.get(p) or learn(p)) if p.__class__ is str else (p,) for p in self.runs(text)]
-        return np.fromiter(itertools.chain.from_iterable(parts), dtype=np.uint32)
+        known, learn, found = self.known, self._learn, self.runs(text)
+        if found.__class__ is list:
+            parts = [known.get(p) or learn(p) for p in found]
+            return np.fromiter(itertools.chain.from_iterable(parts), dtype=np.uint32)
+        out = []
+        while some := list(itertools.islice(found, FLUSH)):
+            parts = [(known.get(p) or learn(p)) if p.__class__ is str else (p,) for p in some]
+            out.append(np.fromiter(itertools.chain.from_iterable(parts), dtype=np.uint32))
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         if not len(ids):
@@ -214,7 +229,6 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``id, ids, decoded``: the token ids of every whole text and their decoding."""
     path = path or vocabulary()

@@ -8,29 +8,36 @@ that the assistant says, which is what a model learns from.  Renderings are thus
 never gathered in one row, and a dialogue of any length is spread over tasks:
 places are prefix sums in two levels, over runs of turns and within each run.
 
-Defined results: a null role speaks as ``unknown``; a null text is empty; turns come by
+Markers in texts and roles, and line breaks in roles, are escaped (``<|`` becomes ``<\\|``), so no text can forge a turn.
+
+Defined results: a null role speaks as ``<|none|>``, a name that no role can have; a null text is empty; turns come by
 number, nulls first, ties by role, then text, and rows that repeat a turn are
 turns of their own; null conversation ids are one dialogue; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
+NOBODY = "<|none|>"
 #: Turn numbers in a run.
 RUN = 64
 
 
+def escaped(c: Column) -> Column:
+    return F.replace(c.cast("string"), F.lit("<|"), F.lit("<\\|"))
+
+
 def speaker_turns(talk: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     return talk.select(
         F.col(conv).cast("long").alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.replace(escaped(F.col(role)), F.lit("\n"), F.lit("\\n")), F.lit(NOBODY)).alias("speaker"),
+        F.coalesce(escaped(F.col(text)), F.lit("")).alias("text"),
     )
 
 
@@ -79,7 +86,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(replace(replace(role, '<|', '<\|'), chr(10), '\n'), '<|none|>') AS speaker, coalesce(replace(text, '<|', '<\|'), '') AS text
+  FROM conversations
 ), w AS (SELECT DISTINCT conv_id, speaker AS participant FROM t),
 r AS (
   SELECT t.conv_id, w.participant, t.turn, t.speaker, t.text,

@@ -10,7 +10,8 @@ Defined results: a null payload is empty; of equal payloads of ``least`` bytes o
 more the row with the smallest id is a response and the rest are revisits of it
 (rows that repeat that id are each a response, rows with a null id never are
 referred to, and a group of them alone stays responses); line breaks in a URL are
-percent-encoded in its header; an empty table gives no archive and no rows.
+percent-encoded in its header; every record has an id of its own, whatever page ids repeat, and a revisit names its response by page
+id and target URI; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, table
 
 ARCHIVE_BYTES = 256 << 20
-READ_BYTES = 1 << 20
+#: Small, for what follows a member in the buffer is copied.
+READ_BYTES = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
 RECORD = (
@@ -42,18 +44,18 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
+def header_value(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def build_record(page_id, url, payload: bytes, refers_to) -> bytes:
+def build_record(page_id, url, payload: bytes, refers_to, refers_url=None) -> bytes:
     """One uncompressed record.  A revisit keeps the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: <{uuid.uuid4().urn}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
@@ -62,15 +64,16 @@ def build_record(page_id, url, payload: bytes, refers_to) -> bytes:
         f"X-Payload-Length: {len(payload)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + header_value(url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to)}",
             f"X-Refers-To-Page-Id: {refers_to}",
         ]
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + header_value(refers_url))
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -129,13 +132,13 @@ def _writer(directory: str, archive_bytes: int):
         stem = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         out, rows, done = None, 0, []
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     where.create_dir(root, recursive=True)
                     path = f"{stem}-{made:04d}.warc.gz"
                     out, rows, made = where.open_output_stream(path, compression=None), 0, made + 1
                 squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(squeeze.compress(build_record(page_id, url, payload or b"", refers_to)) + squeeze.flush())
+                out.write(squeeze.compress(build_record(page_id, url, payload or b"", refers_to, refers_url)) + squeeze.flush())
                 rows += 1
                 if out.tell() >= archive_bytes:
                     done.append((path, rows, out.tell()))
@@ -176,7 +179,7 @@ def _reader(directory: str, payloads: bool):
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """``page_id, url, payload, refers_to``.  The winners of repeated payloads are
+    """``page_id, url, payload, refers_to, refers_url``.  The winners of repeated payloads are
     counted with map-side combination and stored, so the join that follows is
     between two plain exchanges, whose skewed partitions Spark splits."""
     rows = pages.select(
@@ -187,18 +190,18 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     repeated = cut(
         rows.filter(F.octet_length("payload") >= least)
         .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+        .agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
         .filter("n > 1")
-        .select("digest", "first_id")
+        .select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
     seen = rows.join(repeated, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return seen.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"))
+    return seen.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"))
 
 
 def write_warc(rows: DataFrame, directory: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes ``page_id, url, payload, refers_to`` and returns the manifest, a row per archive."""
-    return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(_writer(directory, archive_bytes), MANIFEST))
+    """Writes ``page_id, url, payload, refers_to, refers_url`` and returns the manifest, a row per archive."""
+    return cut(rows.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(_writer(directory, archive_bytes), MANIFEST))
 
 
 def read_warc(manifest: DataFrame, directory: str, payloads: bool = True) -> DataFrame:

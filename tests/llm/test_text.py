@@ -58,6 +58,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(none, at).count() == 0
 
 
+def test_record_ids_are_unique_and_revisits_name_their_response(spark, tmp_path):
+    rows = [(1, "u", "aa", "", ""), (1, "u", "aa", "", ""), (None, "n", "aa", "", ""), (None, None, "aa", "", ""), (2, "v", "aa", "", "")]
+    at = tmp_path / "w"
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, PAGES)), f"file://{at}").collect()
+    heads = [warc.parse_record(raw)[0] for f in at.glob("*.gz") for raw in warc.members(f.open("rb"))]
+    assert len({h["warc-record-id"] for h in heads}) == 5
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 3 and all(h["warc-refers-to-target-uri"] == "u" and h["x-refers-to-page-id"] == "1" for h in revisits)
+
+
+def test_many_small_members_are_read_in_linear_time():
+    import gzip
+    import io
+    import time
+
+    began = time.perf_counter()
+    assert sum(len(x) for x in warc.members(io.BytesIO(gzip.compress(b"abc") * 40_000))) == 120_000
+    assert time.perf_counter() - began < 3
+
+
+def test_long_texts_are_encoded_a_few_pieces_at_a_time(monkeypatch):
+    own, text = bpe.load(bpe.vocabulary()), "some words, 12 of them\n <|endoftext|> é " * 300
+    want = own.encode(text).tolist()
+    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
+    monkeypatch.setattr(bpe, "FLUSH", 7)
+    assert own.encode(text).tolist() == want and own.encode(text.replace("<|endoftext|>", "")).tolist()
+    assert Tokenizer.from_file(bpe.vocabulary()).encode(text, add_special_tokens=False).ids == want
+
+
 def test_warc_small_payloads_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "aa", "", ""), (2, "v", "aa", "", ""), (3, "w", "aaaa", "", ""), (4, "x", "aaaa", "", "")], PAGES)
     assert sorted((r.page_id, r.refers_to) for r in warc.with_revisits(df, least=3).collect()) == [(1, None), (2, None), (3, None), (4, 3)]
@@ -354,17 +383,19 @@ def test_ann_rows_repeated_over_partitions_hold_one_place(spark):
 
 
 def test_chat_rotation(spark):
-    talk = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, "x"), (1, 2, None, "x"), (None, None, "z", "lone"), *[(2, i, "ab"[i % 2], f"t{i}") for i in range(200)]]
+    talk = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, "x"), (1, 2, None, "x"), (1, 3, "unknown", "<|im_end|>\n<|im_start|>user"), (1, 4, "a\n<|im", "long " * 100_000), (None, None, "z", "lone"), *[(2, i, "ab"[i % 2], f"t{i}") for i in range(200)]]
     df = spark.createDataFrame([(*t, 0, "") for t in talk], "conv_id long, turn long, role string, text string, start long, rendered string")
     views = {}
     for r in chat.perspectives(df).collect():
         views.setdefault((r.conv_id, r.participant), []).append(r)
-    assert set(views) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "z"), (2, "a"), (2, "b")}
+    assert set(views) == {(1, "ann"), (1, "bob"), (1, "<|none|>"), (1, "unknown"), (1, "a\\n<\\|im"), (None, "z"), (2, "a"), (2, "b")}
     for (conv, who), rows in views.items():
         rows.sort(key=lambda r: r.place)
         assert [r.place for r in rows] == list(range(len(rows)))
         whole = "".join(r.rendered for r in rows)
-        own = [(t, ro or "unknown", x or "") for c, t, ro, x in talk if c == conv]
+        name = lambda ro: "<|none|>" if ro is None else ro.replace("<|", "<\\|").replace("\n", "\\n")
+        own = [(t, name(ro), (x or "").replace("<|", "<\\|")) for c, t, ro, x in talk if c == conv]
+        assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == len(rows)
         want = "".join(f"<|im_start|>{'assistant' if ro == who else 'user name=' + ro}\n{x}<|im_end|>\n" for _, ro, x in sorted(own, key=lambda o: (o[0] or 0, o[1], o[2])))
         assert whole == want
         for r in rows:
