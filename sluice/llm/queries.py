@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_chat": chat.OP7_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_chat": chat.OP7_SQL, "op8_warc": warc.OP8_SQL}

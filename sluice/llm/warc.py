@@ -217,3 +217,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(manifest, directory, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT *, min(page_id) OVER (PARTITION BY t) AS first_id,
+         list_aggregate(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+           (4 * (instr('0123456789abcdef', substr(h, i, 1)) - 1) + 1)::BIGINT, 4)), 'string_agg', '') AS bits
+  FROM p
+)
+SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + list_sum(list_transform(range(0, 5), lambda k: CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 16 >> k::INT ELSE 0 END)))::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
