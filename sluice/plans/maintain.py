@@ -7,8 +7,8 @@ of that key only, so a batch reads the rows of the keys that it touches, compute
 part of the result before and after, and gives the difference.  LATEST BY keeps just the
 current row of a key.  Statements with scalar subqueries or EXISTS have one key: a batch computes them anew.
 
-A keyed step stores its input rows as a log of Parquet folders, one per batch, dealt by a hash of the key into
-``BUCKETS`` folders; a batch opens the buckets that it touches.  After ``COMPACT`` batches the log is
+A keyed step stores its input rows as a log of Parquet folders, one per batch, whose rows are dealt and sorted by a hash of the key
+into ``BUCKETS`` buckets; a batch reads the row groups with buckets that it touches.  After ``COMPACT`` batches the log is
 rewritten as one.  A batch reads batches of smaller numbers only and overwrites its own folder, so it can be applied
 again, and a view that is opened over an old path goes on where its last finished batch ended.
 
@@ -29,9 +29,11 @@ from ..sql.parser import parse, sources, split_sink
 from ..storage import fresh_path, shared_dir
 from . import engine as E
 
-BUCKETS = 32
+BUCKETS = 1024
 COMPACT = 16
 KEY = "_k"
+#: The weight of a row while a statement is run over it.
+HIDDEN = "_w"
 
 
 def net(deltas: DataFrame) -> DataFrame:
@@ -72,9 +74,9 @@ class Store:
             self.schema = one.schema
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        # A bucket's rows are one file of the batch, or some large ones.
-        dealt = rows.withColumn("_b", F.pmod(KEY, F.lit(self.buckets))).repartition("_b")
-        dealt.write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/{name}")
+        # As many files as the size asks for; a small batch is one.
+        dealt = rows.withColumn("_b", F.pmod(KEY, F.lit(self.buckets))).repartition("_b").sortWithinPartitions("_b")
+        dealt.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def append(self, rows: DataFrame, number: int) -> None:
         self.schema = self.schema or rows.schema
@@ -101,7 +103,7 @@ class Store:
         rows = self.read(number)
         if rows is None:
             return None
-        # At most ``buckets`` numbers: only these folders are opened.
+        # At most ``buckets`` numbers.
         open_ = [r["b"] for r in touched.select(F.pmod(KEY, F.lit(self.buckets)).alias("b")).distinct().collect()]
         return net(rows.filter(F.col("_b").isin(open_)).drop("_b").join(touched, KEY, "left_semi"))
 
@@ -173,17 +175,21 @@ class Base(Step):
 
 
 class Linear(Step):
+    """A projection, filter or UNNEST: each row keeps its weight."""
+
     def __init__(self, view: View, child: Step, make: Callable[[str], Select]):
         """``make``: the statement over a relation of that name."""
-        self.view, self.child, self.q = view, child, make("_in")
-        self.kinds = view.run(self.q, {"_in": (view.empty(child.kinds), child.kinds)}).kinds
+        self.view, self.child, q = view, child, make("_in")
+        self.kinds = view.run(q, {"_in": (view.empty(child.kinds), child.kinds)}).kinds
+        self.q = Select([*q.items, Item(Col(HIDDEN, q.source.alias), HIDDEN)], q.source, q.joins, q.where)
 
     def changes(self, batch, number):
         rows = self.child.changes(batch, number)
         if rows is None:
             return None
-        part = lambda df, w: self.view.run(self.q, {"_in": (bag(df), self.child.kinds)}).df.withColumn(W, F.lit(w).cast("bigint"))
-        return part(rows, 1).unionByName(part(zset.negate(rows), -1))
+        weighed = rows.withColumnRenamed(W, HIDDEN)
+        out = self.view.run(self.q, {"_in": (weighed, self.child.kinds | {HIDDEN: "long"})}).df
+        return out.select(*[f"`{c}`" for c in self.kinds], "_ts", "_seq", F.col(HIDDEN).alias(W))
 
 
 class Keyed(Step):
@@ -227,10 +233,10 @@ class Keyed(Step):
             before[name] = bag(held).drop(KEY) if held is not None else none
             parts = [x for x in (held, deltas.get(name)) if x is not None]
             after[name] = bag(net(zset.plus(*parts))).drop(KEY) if parts else none
-        out = difference(self.result(after), self.result(before)).checkpoint()
         for name, rows in deltas.items():
             self.stores[name].append(rows, number)
-        return out
+        # What is read here are batches of smaller numbers, whenever it is read.
+        return difference(self.result(after), self.result(before))
 
 
 class Latest(Step):
@@ -264,9 +270,8 @@ class Latest(Step):
         after = self.view.run(self.current, {"_in": (left, child.kinds)}).df.checkpoint()
         change = difference(after, before)
         show = lambda df: self.view.run(self.shown, {"_in": (df, child.kinds)}).df
-        out = difference(show(after), show(before)).checkpoint()
         self.store.append(self.view.keyed(change, alias, "_in", child.kinds, self.q.latest_by, numbers), number)
-        return out
+        return difference(show(after), show(before))
 
 
 class All(Step):
@@ -420,7 +425,8 @@ class Maintained:
         found = self.step.changes({k: v for k, v in changes.items() if v is not None}, number)
         if found is None:
             return self.view.empty(self.kinds).drop("_seq").withColumn(W, F.lit(0).cast("bigint"))
-        out = net(found.withColumn("_seq", F.lit(0).cast("bigint")))
+        out = found.withColumn("_seq", F.lit(0).cast("bigint"))
+        out = out if isinstance(self.step, (Keyed, Latest)) else net(out)
         kept = out.withColumn(KEY, F.xxhash64(*names)).checkpoint()
         self.result.append(kept, number)
         return kept.select(*names, W)

@@ -27,6 +27,16 @@ STATEMENTS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """These tables are small: a task each is enough, and compiling plans takes longer than running them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+
+
 def bag(df):
     columns = sorted(df.columns)
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
