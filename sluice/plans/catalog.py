@@ -128,6 +128,12 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
         SELECT event_type, (row_number() OVER o)::BIGINT AS n, (sum(weight) OVER o)::BIGINT AS w, ws AS window_start, ws + 21600000 AS window_end, false AS _final FROM w
         WINDOW o AS (PARTITION BY event_type, ws ORDER BY _seq) UNION ALL
         SELECT event_type, count(*), sum(weight)::BIGINT, ws, ws + 21600000, true FROM w GROUP BY event_type, ws"""),
+    "distinct_changes": (PIPE, "SELECT event_type, COUNT(DISTINCT user_id) AS u, COUNT(DISTINCT IF(value > 50, user_id, NULL)) AS v FROM ev GROUP BY event_type WINDOW TUMBLING(SIZE 24 HOURS) EMIT CHANGES",
+        f"""WITH {EV}, w AS (SELECT *, _ts - _ts % 86400000 AS ws, CASE WHEN value > 50 THEN user_id END AS x FROM ev),
+        f AS (SELECT *, row_number() OVER (PARTITION BY event_type, ws, user_id ORDER BY _seq) = 1 AS a, x IS NOT NULL AND row_number() OVER (PARTITION BY event_type, ws, x ORDER BY _seq) = 1 AS b FROM w)
+        SELECT event_type, (sum(a::INT) OVER o)::BIGINT AS u, (sum(b::INT) OVER o)::BIGINT AS v, ws AS window_start, ws + 86400000 AS window_end, false AS _final FROM f
+        WINDOW o AS (PARTITION BY event_type, ws ORDER BY _seq) UNION ALL
+        SELECT event_type, count(DISTINCT user_id), count(DISTINCT x), ws, ws + 86400000, true FROM w GROUP BY event_type, ws"""),
     "session_changes": (PIPE, "SELECT user_id, COUNT(*) AS n, SUM(weight) AS w FROM ev GROUP BY user_id WINDOW SESSION(GAP 6 HOURS) EMIT CHANGES",
         f"""WITH {EV}, a AS (SELECT user_id, weight, _ts, _seq, CASE WHEN _ts - lag(_ts) OVER o > 21600000 THEN 1 ELSE 0 END AS cut FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY _ts)),
         b AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY _ts RANGE UNBOUNDED PRECEDING) AS g FROM a)

@@ -616,7 +616,15 @@ class Engine:
                 final = final.filter("_rows > 0")
         if q.emit_changes:
             over = Window.partitionBy(*by).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-            steps = df.select(*by, "_seq", *[m(over).alias(c) for c, m in built]).withColumn("_final", F.lit(False))
+            running = dict(built)
+            for node, (name, _) in aggs.items():
+                if node.distinct:
+                    # A running count of distinct values counts the first row of each.
+                    x = self.expr(node.arg, w).col
+                    first = F.row_number().over(Window.partitionBy(*by, x).orderBy("_seq")) == 1
+                    df = df.withColumn(f"_first{name}", (first & x.isNotNull()).cast("bigint"))
+                    running[name] = lambda spec, c=f"_first{name}": F.sum(c).over(spec)
+            steps = df.select(*by, "_seq", *[m(over).alias(c) for c, m in running.items()]).withColumn("_final", F.lit(False))
             final = steps.unionByName(final.withColumn("_final", F.lit(True)).drop("_rows"))
         out, kinds = [], {}
         scope = Working(final, {}, w.aliases)
