@@ -3,32 +3,15 @@ storage that every executor sees."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import fresh_path, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which the driver and all executors
-    see.  Only a session that names none (a local test) gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once, without its lineage: for narrow tables that are
     read more than once."""
@@ -46,3 +29,6 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+__all__ = ["cut", "fresh_path", "shared_dir", "shuffle_partitions", "staged", "table"]
