@@ -10,7 +10,8 @@ found by brute force, and visits widen until their recall reaches ``TARGET``.
 
 Neighbouring leaves stand in groups of about ``CHUNK`` vectors.  A query goes to a group once, with the leaves that
 it visits there, and meets the vectors of just these leaves; a group with more vectors or queries than a chunk is dealt to
-several tasks, so neither a full leaf nor a popular one is held by one.  The best of each group are cut to the best of all
+several tasks, so neither a full leaf nor a popular one is held by one.  A query brings along the product that its ``k + 1``
+best reach among ``TASTED`` sampled vectors of the leaves that it visits first: what lies below can't be among the nearest that it finds.  The best of each group are cut to the best of all
 by ranks, partly before they are shuffled.  Equal vectors of the whole table
 stand in one row with the smallest ids that can be among a query's nearest, before
 anything is sampled, calibrated or searched, and equal queries are searched once.  Scores are inner products of the original
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, staged, table
+from .common import cut, shuffle_partitions, staged, table
 
 K = 20
 SAMPLE = 32768
@@ -44,8 +45,10 @@ REACH = 2.75
 CALIBRATION = 256
 TARGET = 0.95
 #: Vectors, and queries, in a chunk; candidates of a task before they are cut to the best.
-CHUNK = 8192
-PENDING = 1 << 20
+CHUNK = 2048
+QUERIES = 8192
+PENDING = 1 << 18
+TASTED = 1024
 SEED = 17
 
 
@@ -220,17 +223,42 @@ def _calibrated(index: DataFrame, queries: list[tuple[int, np.ndarray]], tree: T
     return int(np.sort(ranks)[min(wanted - 1, int(np.ceil(target * wanted)) - 1)]) + 1
 
 
-def _cut(q: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Which candidates are among the k best of their query; what rounding may have put just below stays."""
+def _cut(q: np.ndarray, score: np.ndarray, k: int, least_of: np.ndarray) -> np.ndarray:
+    """Which candidates are among the k best of their query; what rounding may have put just below stays.
+    ``least_of`` gets the least product that can still be among them, by query."""
     order = np.lexsort((-score, q))
     q, score = q[order], score[order]
     start = np.flatnonzero(np.r_[True, np.diff(q) != 0])
     length = np.diff(np.r_[start, len(q)])
     least = score[start + np.minimum(length, k) - 1]
-    least = np.where(length > k, least - 1e-9 * (1 + np.abs(least)), -np.inf)
+    least = np.where(length >= k, least - 1e-9 * (1 + np.abs(least)), -np.inf)
+    least_of[q[start]] = np.maximum(least_of[q[start]], least)
     return order[score >= np.repeat(least, length)]
 
 
+class Taster:
+    """The sampled vectors by leaf: they stand in the table, so their products bound those of a query's nearest."""
+
+    def __init__(self, tree: Tree, sample: np.ndarray):
+        leaf = tree.assign(sample)
+        order = np.argsort(leaf, kind="stable")
+        self.rows = sample[order]
+        self.edge = np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
+
+    def floor(self, query: np.ndarray, leaves: list[int], k: int) -> float:
+        """A product that ``k + 1`` distinct vectors in ``leaves`` reach, less what rounding may do."""
+        parts, n = [], 0
+        for leaf in leaves:
+            parts.append(self.rows[self.edge[leaf] : self.edge[leaf + 1]])
+            n += len(parts[-1])
+            if n >= TASTED:
+                break
+        if n <= k:
+            return -np.inf
+        least = float(np.partition(np.concatenate(parts) @ query, -(k + 1))[-(k + 1)])
+        return least - 1e-9 * (1 + abs(least))
+
+
 def _search(dimension: int, k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out_ids: list[int] = []
@@ -245,13 +273,14 @@ def _search(dimension: int, k: int):
             wanted = asked.flatten().to_numpy(zero_copy_only=False)
             order = np.argsort(wanted, kind="stable")
             who, wanted = who[order], wanted[order]
+            least = right.column("floor").to_numpy().copy()
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             pending = 0
 
             def cut() -> None:
                 nonlocal held, pending
                 q, row, score = (np.concatenate(c) for c in zip(*held))
-                best = _cut(q, row, score, k + 1)
+                best = _cut(q, score, k + 1, least)
                 held, pending = [(q[best], row[best], score[best])], 0
 
             starts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0])
@@ -260,8 +289,9 @@ def _search(dimension: int, k: int):
                 if not len(own):
                     continue
                 score = queries[own] @ x[low:high].T
-                held.append((np.repeat(own, high - low), np.tile(np.arange(low, high), len(own)), score.ravel()))
-                pending += score.size
+                at, column = np.nonzero(score >= least[own][:, None])
+                held.append((own[at], low + column, score[at, column]))
+                pending += len(at)
                 if pending > PENDING:
                     cut()
             if held:
@@ -269,7 +299,7 @@ def _search(dimension: int, k: int):
                 q, row, _ = held[0]
                 lists, keys = left.column("ids").to_pylist(), right.column("qid").to_pylist()
                 # Products are rounded differently within a matrix product: what is near the border is scored anew alike.
-                exact = np.concatenate([(x[row[a : a + CHUNK]] * queries[q[a : a + CHUNK]]).sum(axis=1) for a in range(0, len(q), CHUNK)])
+                exact = np.concatenate([(x[row[a : a + QUERIES]] * queries[q[a : a + QUERIES]]).sum(axis=1) for a in range(0, len(q), QUERIES)])
                 ids = np.array([i for r in row.tolist() for i in lists[r]])
                 repeated = np.repeat(np.arange(len(row)), [len(lists[r]) for r in row.tolist()])
                 edge = np.searchsorted(q[repeated], np.arange(len(queries) + 1))
@@ -310,7 +340,9 @@ def nearest_neighbours(
     held = staged(_distinct(valid, dimension, kind, k), "vectors")
     hashed = (F.xxhash64(F.lit(SEED), x) for x in (F.col("ids")[0], "vector"))
     rows = held.orderBy(*hashed).limit(bound).select("vector").toArrow().column(0).combine_chunks()
-    tree = Tree(_matrix(rows, dimension))
+    sample = _matrix(rows, dimension)
+    tree = Tree(sample)
+    taster = Taster(tree, sample)
     index = staged(_indexed(held, tree, dimension, kind), "ann")
 
     queries = valid.filter(is_query(F.col("id")))
@@ -320,27 +352,31 @@ def nearest_neighbours(
 
     # A number for each leaf and each group of leaves: the tree bounds them.
     group_of, parts_of = grouped_leaves({r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()})
-    box = spark.sparkContext.broadcast((tree, group_of))
+    box = spark.sparkContext.broadcast((tree, group_of, taster))
 
     def walk(batches):
-        tree, group_of = box.value
+        tree, group_of, taster = box.value
         for batch in batches:
             own: list[int] = []
             groups, leaves = [], []
+            floors = np.zeros(batch.num_rows)
             for n, x in enumerate(_matrix(batch.column(1), dimension) if batch.num_rows else ()):
                 met: dict[int, list[int]] = {}
-                for leaf in tree.best_bins(x, visits):
+                found = tree.best_bins(x, visits)
+                floors[n] = taster.floor(x, found, k)
+                for leaf in found:
                     if leaf in group_of:
                         met.setdefault(group_of[leaf], []).append(leaf)
                 own += [n] * len(met)
                 groups += met
                 leaves += met.values()
             taken = pa.array(own, pa.int64())
-            arrays = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "vector", "group", "leaves"])
+            arrays = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(floors).take(taken), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "vector", "floor", "group", "leaves"])
 
-    stops = staged(distinct.select("qid", "vector").mapInArrow(walk, f"qid long, vector {kind}, group int, leaves array<int>"), "visits")
-    turns_of = {r["group"]: -(-r["count"] // CHUNK) for r in stops.groupBy("group").count().collect()}
+    spread = distinct.select("qid", "vector").repartition(shuffle_partitions(spark), "qid")
+    stops = staged(spread.mapInArrow(walk, f"qid long, vector {kind}, floor double, group int, leaves array<int>"), "visits")
+    turns_of = {r["group"]: -(-r["count"] // QUERIES) for r in stops.groupBy("group").count().collect()}
     number = lambda of, c, least=1: F.coalesce(F.get(F.array(*[F.lit(of.get(g, least)) for g in range(max(parts_of, default=0) + 1)]), F.col(c)), F.lit(least))
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     grouping = spark.createDataFrame(list(group_of.items()), "leaf int, group int")
@@ -351,7 +387,7 @@ def nearest_neighbours(
         .select("group", "part", each(number(turns_of, "group")).alias("turn"), "leaf", "vector", "ids")
     )
     right = stops.withColumn("turn", F.pmod(F.xxhash64("qid"), number(turns_of, "group")).cast("int")).select(
-        "group", each(number(parts_of, "group")).alias("part"), "turn", "vector", "qid", "leaves"
+        "group", each(number(parts_of, "group")).alias("part"), "turn", "vector", "qid", "floor", "leaves"
     )
     keys = ("group", "part", "turn")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(dimension, k), "qid long, best array<struct<s: double, id: long>>")

@@ -354,13 +354,13 @@ def test_ann_chunks_of_any_size_give_the_same(spark, monkeypatch):
     x = np.random.default_rng(9).normal(size=(400, 8)).round(1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     out = []
-    for chunk, pending in ((8192, 1 << 20), (50, 100)):
+    for chunk, pending in ((8192, 1 << 20), (50, 100), (30, 7)):
         monkeypatch.setattr(ann, "PENDING", pending)
         monkeypatch.setattr(ann, "grouped_leaves", lambda sizes, chunk=chunk, own=ann.grouped_leaves: own(sizes, chunk))
-        monkeypatch.setattr(ann, "CHUNK", chunk)
+        monkeypatch.setattr(ann, "QUERIES", chunk)
         out.append(sorted(tuple(r) for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0, target=1.0).collect()))
         monkeypatch.undo()
-    assert out[0] == out[1] and len(out[0]) == 400
+    assert out[0] == out[1] == out[2] and len(out[0]) == 400
 
 
 def test_ann_rows_repeated_over_partitions_hold_one_place(spark):
