@@ -244,6 +244,7 @@ class Model:
             own = np.flatnonzero(~others)
             found = model.nearest([(codes[starts[i] : starts[i + 1]], counts[starts[i] : starts[i + 1]]) for i in own.tolist()])
             votes[own] = [model.vote(x) for x in found]
+            del model, found  # one index at a time
         self.knots, self.values = isotonic(votes, labels, weights) if len(ids) else (np.array([0.0, 1.0]), np.array([0.0, 0.0]))
         self.neighbours = Neighbours(idf, rows, codes, counts, labels, weights)
 
