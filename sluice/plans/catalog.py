@@ -231,7 +231,7 @@ DIALECT: dict[str, tuple[str, str, str | None]] = {
         ((big + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS big FROM t"""),
     "coalesce_kinds": (TABLE, "SELECT o_orderkey, COALESCE(IF(o_orderkey % 2 = 0, o_custkey, NULL), o_orderstatus) AS v FROM ord",
         "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE o_orderstatus END AS v FROM orders"),
-    "json_null_test": (PIPE, "SELECT user_id, props ->> 'k' AS k FROM ev WHERE (props -> 'k' = NULL) = NULL", f"WITH {EV} SELECT user_id, NULL AS k FROM ev WHERE false"),
+    "json_null_test": (PIPE, "SELECT user_id, props ->> 'k' AS k FROM ev WHERE (props -> 'k' = NULL) = NULL", f"WITH {EV} SELECT user_id, NULL::VARCHAR AS k FROM ev WHERE false"),
 }
 
 

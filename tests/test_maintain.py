@@ -11,10 +11,8 @@ LEGS = '[{"q":%d},{"q":2}]'
 
 STATEMENTS = [
     "SELECT symbol, qty * 2 AS q FROM trades WHERE price > 3",
-    "SELECT * FROM trades",
-    "SELECT symbol, COUNT(*) AS n, SUM(qty) AS s, MIN(price) AS lo, MEDIAN(price) AS m FROM trades GROUP BY symbol",
+    "SELECT symbol, COUNT(*) AS n, SUM(qty) AS s, MIN(price) AS lo, MEDIAN(price) AS m, COUNT(DISTINCT qty) AS d FROM trades GROUP BY ALL",
     "SELECT COUNT(*) AS n, MAX(qty) AS hi FROM trades WHERE qty > 1",
-    "SELECT UPPER(symbol) AS u, COUNT(DISTINCT qty) AS d FROM trades GROUP BY ALL",
     "SELECT t.symbol AS s, t.qty AS q, n.tag AS tag FROM trades t JOIN names n ON t.symbol = n.symbol AND t.qty > 2",
     "SELECT t.symbol AS s, t.qty AS q, n.tag AS tag FROM trades t LEFT JOIN names n ON t.symbol = n.symbol",
     "SELECT t.qty AS q, n.symbol AS s, n.tag AS tag FROM trades t RIGHT JOIN names n ON t.symbol = n.symbol WHERE n.tag != 'z'",
@@ -24,14 +22,12 @@ STATEMENTS = [
     "SELECT symbol, qty FROM trades WHERE symbol IN (SELECT symbol FROM names WHERE tag != 'x') AND qty < 5",
     "SELECT symbol, qty FROM trades WHERE symbol NOT IN (SELECT symbol FROM names)",
     "SELECT symbol, COUNT(*) AS n FROM trades WHERE symbol IN (SELECT symbol FROM names GROUP BY symbol) GROUP BY symbol",
-    "SELECT symbol AS k FROM trades UNION SELECT tag FROM names",
     "SELECT symbol AS k, qty AS q FROM trades UNION ALL SELECT tag, 1.5 FROM names",
     "SELECT n, COUNT(*) AS c FROM (SELECT symbol, COUNT(*) AS n FROM trades GROUP BY symbol) d GROUP BY n",
     "WITH big AS (SELECT symbol, MAX(qty) AS m FROM trades GROUP BY symbol) SELECT b.symbol AS s, b.m AS m, n.tag AS t FROM big b LEFT JOIN names n ON b.symbol = n.symbol",
     "SELECT symbol, qty FROM trades WHERE qty > (SELECT AVG(qty) AS a FROM trades)",
     "SELECT symbol FROM trades WHERE NOT EXISTS (SELECT tag FROM names WHERE tag = 'z')",
     "SELECT t.symbol AS s, SUM(x -> 'q') AS q FROM legs t, UNNEST(t.legs) AS x GROUP BY t.symbol",
-    "SELECT r.symbol AS a, n.tag AS b FROM names r CROSS JOIN names n",
 ]
 
 
