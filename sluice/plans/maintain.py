@@ -256,17 +256,20 @@ class Latest(Step):
         if rows is None:
             return None
         names = [*child.kinds, "_ts", "_seq"]
-        gone = F.coalesce(F.col("_retract"), F.lit(False)) if "_retract" in rows.columns else F.lit(False)
+        # Without retractions of keys LATEST BY is one aggregate.
+        flags = [F.coalesce(F.col("_retract"), F.lit(False)).alias("_retract")] if "_retract" in rows.columns else []
         weight = F.coalesce(F.col(W), F.lit(1)).cast("bigint") if W in rows.columns else F.lit(1).cast("bigint")
         numbers = [False] * len(self.q.latest_by)
-        typed = rows.select(*[f"`{c}`" for c in names], weight.alias(W), gone.alias("_retract"))
+        typed = rows.select(*[f"`{c}`" for c in names], weight.alias(W), *flags)
         keyed = self.view.keyed(typed, alias, "_in", child.kinds, self.q.latest_by, numbers).checkpoint()
         touched = keyed.select(KEY).distinct()
         held = self.store.of(touched, number)
-        asserted = net(keyed.filter("not _retract").drop("_retract"))
+        held = held.checkpoint() if held is not None else None  # read once, used three times
+        asserted = net(keyed.filter("not _retract").drop("_retract") if flags else keyed)
         before = bag(held).drop(KEY) if held is not None else self.view.empty(child.kinds)
-        left = bag(net(zset.plus(held, asserted)) if held is not None else asserted).drop(KEY).withColumn("_retract", F.lit(False))
-        left = left.unionByName(keyed.filter("_retract").drop(W, KEY))
+        left = bag(net(zset.plus(held, asserted)) if held is not None else asserted).drop(KEY)
+        if flags:
+            left = left.withColumn("_retract", F.lit(False)).unionByName(keyed.filter("_retract").drop(W, KEY))
         after = self.view.run(self.current, {"_in": (left, child.kinds)}).df.checkpoint()
         change = difference(after, before)
         show = lambda df: self.view.run(self.shown, {"_in": (df, child.kinds)}).df
