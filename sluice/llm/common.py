@@ -19,6 +19,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int, per_file: int = 1 << 16) -> DataFrame:
+    """As ``cut``, in files by the number of rows (about ``rows``), not of shuffle partitions.
+
+    Hadoop's local file system starts a ``chmod`` for each file and its checksum, and the child shares the
+    executor's memory until it has started."""
+    return cut(df.repartition(1 + rows // per_file))
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """As ``cut``, but as compressed Parquet in the shared folder: for wide tables."""
     spark = df.sparkSession
@@ -31,4 +39,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["cut", "fresh_path", "shared_dir", "shuffle_partitions", "staged", "table"]
+__all__ = ["cut", "fresh_path", "gathered", "shared_dir", "shuffle_partitions", "staged", "table"]

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .graph import connected_components
+from .common import cut, gathered, table
+from .graph import Forest, connected_components
 
 WORDS = 3
 SEED = 42
@@ -150,24 +150,6 @@ def within_chain(a: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
     return good & (np.bitwise_count(diff) <= BITS)
 
 
-class Forest:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        root = x
-        while (up := self.parent.setdefault(root, root)) != root:
-            root = up
-        while self.parent[x] != root:
-            self.parent[x], x = root, self.parent[x]
-        return root
-
-    def unite(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-
 def _link(forest: Forest, start: int, prints: np.ndarray, exact: np.ndarray) -> None:
     mine = prints[exact]
     if not len(mine) or len(prints) < 2:
@@ -231,11 +213,11 @@ def _links(heavy: int | None):
 
 def near_duplicate_links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``a, b``: links that connect just the fingerprints (``fp``, distinct) that links connect."""
-    keyed, out = prints.select("fp").mapInArrow(_chain_keys, RECORDS), None
+    keyed, out, rows = prints.select("fp").mapInArrow(_chain_keys, RECORDS), None, prints.count()
     for level in range(LEVELS + 1):
         last = level == LEVELS
         dealt = keyed.repartition(F.col("start"), F.col("key")).sortWithinPartitions("start", "key")
-        found = cut(dealt.mapInArrow(_links(None if last else heavy), LINKED))
+        found = gathered(dealt.mapInArrow(_links(None if last else heavy), LINKED), rows)
         links = found.filter("a is not null").select("a", "b")
         out = links if out is None else out.union(links)
         rest = found.filter("key is not null").select("start", "key", "fp", "exact")
@@ -253,11 +235,12 @@ def _components(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``id, fp, component_id``: one row per row of ``docs``."""
     marked = cut(fingerprints(docs, id_col, text_col, words).select("id", "fp"))
-    prints = cut(marked.groupBy("fp").agg(F.min("id").alias("first_id")))
+    rows = marked.count()
+    prints = gathered(marked.groupBy("fp").agg(F.min("id").alias("first_id")), rows)
     linked = _components(prints)
-    first = cut(linked.join(prints, "fp").groupBy("root").agg(F.min("first_id").alias("smallest")))
+    first = gathered(linked.join(prints, "fp").groupBy("root").agg(F.min("first_id").alias("smallest")), rows)
     named = linked.join(first, "root").select("fp", "smallest")
-    known = cut(prints.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first_id").alias("component_id")))
+    known = gathered(prints.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first_id").alias("component_id")), rows)
     return marked.join(known, "fp", "left").select("id", "fp", "component_id")
 
 

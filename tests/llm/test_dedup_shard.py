@@ -1,12 +1,15 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, exact_dedup, pack, shard, simhash
+from sluice.llm import bpe, exact_dedup, graph, pack, shard, simhash
+from sluice.llm.common import shared_dir
 from sluice.llm.pack import fewest, pack_documents, packed_sequences, sum_of_squares
 
 SCHEMA = "doc_id long, text string, digest string, row long, id long"
@@ -265,6 +268,54 @@ def test_full_keys_are_dealt_out_and_lose_no_link(spark):
         assert {p: want.find(p) for p in want.parent} == {p: got.find(p) for p in list(got.parent)}
 
 
+@pytest.mark.parametrize("alone", [0, graph.ALONE])
+def test_components_of_few_and_of_many_edges(spark, alone):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000)]
+    edges += [(-(1 << 63), (1 << 63) - 1), *[(5000, 5001 + k) for k in range(200)]]
+    want = simhash.Forest()
+    for a, b in edges:
+        if a != b:
+            want.unite(a, b)
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), alone).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, want.find(x)) for x in list(want.parent))
+
+
+def checkpointed(spark, pattern):
+    return set(Path(urlparse(spark.sparkContext.getCheckpointDir()).path).glob(pattern))
+
+
+def test_few_links_make_few_tables(spark):
+    # A chain, each fingerprint three bits from the next: rounds over it would checkpoint three tables each.
+    prints = [0x0123456789ABCDEF]
+    for k in range(0, 63, 3):
+        prints.append(prints[-1] ^ (7 << k))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    shared_dir(spark)
+    before = checkpointed(spark, "rdd-*")
+    found = simhash._components(df).collect()
+    assert len(checkpointed(spark, "rdd-*") - before) <= 2
+    assert {r.fp % (1 << 64) for r in found} == set(prints) and len({r.root for r in found}) == 1
+
+
+def test_files_go_by_rows_and_not_by_shuffle_partitions(spark):
+    rows = [(k, f"text {k % 7} of near copies") for k in range(40)]
+    df = docs(spark, rows).coalesce(1)
+    shared_dir(spark)
+    own = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        before = checkpointed(spark, "rdd-*/part-*")
+        got = simhash.near_duplicates(df).collect()
+        assert len(checkpointed(spark, "rdd-*/part-*") - before) < 23
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.component_id) for r in got) == [(i, c) for i, _, c in brute_components(rows)]
+
+
 def test_every_pair_within_three_bits_meets(spark):
     rng = random.Random(2)
     prints, pairs = [], []
