@@ -50,6 +50,8 @@ COMMON = 16
 BATCH = 64
 #: Parts of the examples in calibration.
 PARTS = 4
+#: Rows in a partition of a result: Hadoop starts a ``chmod`` for each file that is written of it (``common.gathered``).
+PER_FILE = 1 << 16
 SEED = 7
 FOLDS = 5
 WORD = re.compile(r"\w+")
@@ -225,13 +227,13 @@ class Neighbours:
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, codes: np.ndarray, counts: np.ndarray, rows_of: dict[int, float]):
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, codes: np.ndarray, counts: np.ndarray, rows_of: dict[int, float], rows: int):
         """Examples in the order of their ids; ``codes`` and ``counts`` of example i stand from ``starts[i]`` to ``starts[i + 1]``.
-        ``rows_of``: rows of the table per example of each class."""
-        self.terms, self.ids = Terms(terms), ids
+        ``rows_of``: rows of the table per example of each class.  ``rows``: of the table."""
+        self.terms, self.ids, self.rows = Terms(terms), ids, rows
         lengths = np.diff(starts)
         weights = np.array([rows_of[y] for y in labels.tolist()], dtype=float)
-        rows = np.repeat(np.arange(len(ids)), lengths)
+        at = np.repeat(np.arange(len(ids)), lengths)
         part = np.array([zlib.crc32(str(i).encode()) // FOLDS % PARTS for i in ids.tolist()])
         votes = np.zeros(len(ids))
         for p in range(PARTS):
@@ -239,14 +241,14 @@ class Model:
             if not others.any():
                 continue
             number = np.cumsum(others) - 1
-            theirs = others[rows]
-            model = Neighbours(idf, number[rows[theirs]], codes[theirs], counts[theirs], labels[others], weights[others])
+            theirs = others[at]
+            model = Neighbours(idf, number[at[theirs]], codes[theirs], counts[theirs], labels[others], weights[others])
             own = np.flatnonzero(~others)
             found = model.nearest([(codes[starts[i] : starts[i + 1]], counts[starts[i] : starts[i + 1]]) for i in own.tolist()])
             votes[own] = [model.vote(x) for x in found]
             del model, found  # one index at a time
         self.knots, self.values = isotonic(votes, labels, weights) if len(ids) else (np.array([0.0, 1.0]), np.array([0.0, 0.0]))
-        self.neighbours = Neighbours(idf, rows, codes, counts, labels, weights)
+        self.neighbours = Neighbours(idf, at, codes, counts, labels, weights)
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of each text."""
@@ -329,7 +331,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # The terms of a text in the order of their numbers, as the texts to be scored have them.
     sort = np.lexsort((codes, np.repeat(np.arange(len(y)), np.diff(starts))))
-    return Model(terms, idf, found.column("id").to_numpy(), y, starts, codes[sort], counts[sort], {k: sizes.get(k, 0) / taken[k] for k in taken})
+    return Model(terms, idf, found.column("id").to_numpy(), y, starts, codes[sort], counts[sort], {k: sizes.get(k, 0) / taken[k] for k in taken}, rows)
+
+
+def _judged(model: Model, texts: pa.Array) -> list[pa.Array]:
+    """``score`` and ``evidence`` of each text."""
+    # A few texts at a time: what is known of all of them at once are numbers in compact arrays.
+    scores, ends, examples, cosines = array("d"), array("i", [0]), array("q"), array("d")
+    for at in range(0, len(texts), BATCH):
+        for score, found in model.scores(texts.slice(at, BATCH).to_pylist()):
+            scores.append(score)
+            cosines.extend(p for p, _ in found)
+            examples.extend(i for _, i in found)
+            ends.append(len(examples))
+    near = pa.StructArray.from_arrays([pa.array(np.array(examples)), pa.array(np.array(cosines))], fields=list(EVIDENCE.field("evidence").type.value_type))
+    return [pa.array(np.array(scores)), pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), near)]
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -338,23 +354,27 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<example: long, cosine: double>>>")
     def judge(texts: pa.Array) -> pa.Array:
-        # A few texts at a time: what is known of all of them at once are numbers in compact arrays.
-        scores, ends, examples, cosines = array("d"), array("i", [0]), array("q"), array("d")
-        for at in range(0, len(texts), BATCH):
-            for score, found in shared.value.scores(texts.slice(at, BATCH).to_pylist()):
-                scores.append(score)
-                cosines.extend(p for p, _ in found)
-                examples.extend(i for _, i in found)
-                ends.append(len(examples))
-        near = pa.StructArray.from_arrays([pa.array(np.array(examples)), pa.array(np.array(cosines))], fields=list(EVIDENCE.field("evidence").type.value_type))
-        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), near)
-        return pa.StructArray.from_arrays([pa.array(np.array(scores)), lists], names=["score", "evidence"])
+        return pa.StructArray.from_arrays(_judged(shared.value, texts), names=["score", "evidence"])
 
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"))
     judged = packed.withColumn("j", judge(F.col("record").getField(text_col).cast("string")))
     return judged.select("record", "j.score", "j.evidence")
 
 
+def scored_ids(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``scored``, with only the id of each row.  No text waits in the JVM for its score, and the
+    rows come in a partition for each PER_FILE rows, however many the input has."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(shared.value, batch.column(1))], names=[id_col, "score", "evidence"])
+
+    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    kind = f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double, evidence array<struct<example: long, cosine: double>>"
+    return slim.mapInArrow(run, kind).repartition(1 + model.rows // PER_FILE)
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``at``, as they are."""
     return scored(docs, fit(docs, labels)).filter(F.col("score") < at).select("record.*")
@@ -362,8 +382,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    key = F.col("record.doc_id")
-    return judged.select(
-        key.alias("doc_id"), held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
-    )
+    judged = scored_ids(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

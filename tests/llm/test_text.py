@@ -275,6 +275,25 @@ def test_toxicity_finds_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_query_writes_few_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"word{i % 7} " + "vile" * (i % 5 == 0), 0.0, "", "") for i in range(99)] + [(None, "vile", 0.0, "", ""), (7, None, 0.0, "", "")]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs.repartition(24).write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "PER_FILE", 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert toxicity.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() > 12
+        toxicity.op1_toxicity(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
+    want = toxicity.scored(docs, toxicity.fit(docs, marks)).collect()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(repr((r.doc_id, r.score, r.evidence)) for r in got.collect()) == sorted(repr((r.record.doc_id, r.score, r.evidence)) for r in want)
+    assert got.filter("predicted != int(score >= 0.5) or held_out != (crc32(cast(doc_id as string)) % 5 = 0)").count() == 0
+
+
 def test_every_word_of_the_examples_is_a_term(spark):
     rows = [(i, f"once{i} word", 0.0, "", "") for i in range(60)]
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 9)) for i in range(60)], "doc_id long, toxic int"))
