@@ -31,6 +31,10 @@ from . import engine as E
 
 BUCKETS = 1024
 COMPACT = 16
+#: Rows that a task nets: what it holds in memory doesn't grow with the view.
+ROWS = 1 << 17
+#: A batch reads whole buckets if they have at most so many rows a touched key.
+NEAR = 16
 KEY = "_k"
 #: The weight of a row while a statement is run over it.
 HIDDEN = "_w"
@@ -38,7 +42,7 @@ HIDDEN = "_w"
 
 def net(deltas: DataFrame) -> DataFrame:
     """One row per content; the arrival number is the latest."""
-    by = [F.col(f"`{c}`") for c in deltas.columns if c not in (W, "_seq")]
+    by = [F.col(f"`{c}`") for c in identity(deltas)]
     return deltas.groupBy(*by).agg(F.sum(W).alias(W), F.max("_seq").alias("_seq")).filter(F.col(W) != 0).select(*[f"`{c}`" for c in deltas.columns])
 
 
@@ -49,8 +53,35 @@ def bag(deltas: DataFrame) -> DataFrame:
 
 
 def difference(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Deltas that aren't net yet."""
     weigh = lambda df, w: df.withColumn(W, F.lit(w).cast("bigint"))
-    return net(weigh(after, 1).unionByName(weigh(before, -1)))
+    return weigh(after, 1).unionByName(weigh(before, -1))
+
+
+def dealt(rows: DataFrame, count: int, by: list[str]) -> DataFrame:
+    """In as many partitions as the number of rows asks for; what groups by these columns, or joins by them, needs no other exchange."""
+    return rows.repartition(max(1, -(-count // ROWS)), *[F.col(f"`{c}`") for c in by])
+
+
+def identity(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in (W, "_seq")]
+
+
+class Touched:
+    """The keys of a batch's deltas."""
+
+    def __init__(self, deltas: list[DataFrame], buckets: int = BUCKETS):
+        own = None
+        for rows in deltas:
+            own = rows.select(KEY) if own is None else own.union(rows.select(KEY))
+        self.keys = own.distinct()
+        # At most ``buckets`` rows.
+        by = own.groupBy(KEY).agg(F.count("*").alias("n")).groupBy(F.pmod(KEY, F.lit(buckets)).alias("b"))
+        found = by.agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
+        self.buckets = [r["b"] for r in found]
+        self.count, self.rows = sum(r["keys"] for r in found), sum(r["n"] for r in found)
+        #: No bucket stands out, so no key has many of the rows.
+        self.even = max((r["n"] for r in found), default=0) <= ROWS + 4 * self.rows // buckets
 
 
 class Store:
@@ -61,6 +92,7 @@ class Store:
     def __init__(self, spark, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.batches: dict[int, str] = {}
+        self.counts: dict[str, int] = {}
         self.schema = None
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
         found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
@@ -77,6 +109,7 @@ class Store:
         # As many files as the size asks for; a small batch is one.
         dealt = rows.withColumn("_b", F.pmod(KEY, F.lit(self.buckets))).repartition("_b").sortWithinPartitions("_b")
         dealt.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.counts.pop(name, None)
 
     def append(self, rows: DataFrame, number: int) -> None:
         self.schema = self.schema or rows.schema
@@ -90,22 +123,42 @@ class Store:
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """All rows of batches of a smaller number."""
-        names = [b for n, b in sorted(self.batches.items()) if before is None or n < before]
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema or ())
         out = None
-        for name in names:
-            rows = self.spark.read.schema(f"{fields}, _b bigint").parquet(f"{self.path}/{name}")
+        for name in self._names(before):
+            rows = self._folder(name)
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    def of(self, touched: DataFrame, number: int) -> DataFrame | None:
-        """The rows of the keys in ``touched`` (``_k``, distinct) before batch ``number``; None if nothing was stored."""
+    def batch(self, number: int) -> DataFrame:
+        """The rows of one batch."""
+        return self._folder(self.batches[number]).drop("_b")
+
+    def count(self, before: int | None = None) -> int:
+        """Of the rows that ``read`` gives; from the files' footers."""
+        for name in self._names(before):
+            if name not in self.counts:
+                self.counts[name] = self._folder(name).count()
+        return sum(self.counts[name] for name in self._names(before))
+
+    def _names(self, before: int | None) -> list[str]:
+        return [b for n, b in sorted(self.batches.items()) if before is None or n < before]
+
+    def _folder(self, name: str) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema or ())
+        return self.spark.read.schema(f"{fields}, _b bigint").parquet(f"{self.path}/{name}")
+
+    def of(self, touched: Touched, number: int) -> tuple[DataFrame, int] | None:
+        """Deltas before batch ``number``, of all keys in ``touched`` and perhaps of others, and about how many; None if nothing was stored.
+
+        Other keys are the same before and after the batch.  They are left out if that saves more than it costs."""
         rows = self.read(number)
         if rows is None:
             return None
-        # At most ``buckets`` numbers.
-        open_ = [r["b"] for r in touched.select(F.pmod(KEY, F.lit(self.buckets)).alias("b")).distinct().collect()]
-        return net(rows.filter(F.col("_b").isin(open_)).drop("_b").join(touched, KEY, "left_semi"))
+        if len(touched.buckets) < self.buckets:
+            rows = rows.filter(F.col("_b").isin(touched.buckets))
+        count = self.count(number) * len(touched.buckets) // self.buckets
+        rows = rows.drop("_b")
+        return (rows if count <= NEAR * touched.count else rows.join(touched.keys, KEY, "left_semi")), count
 
 
 class Step:
@@ -138,8 +191,9 @@ class View:
         return E.Relation(rel.df.select(*[f"`{c}`" for c in rel.kinds], "_ts", F.col("_seq").cast("bigint").alias("_seq")), rel.kinds)
 
     def empty(self, kinds: dict[str, str]) -> DataFrame:
-        fields = ", ".join(f"`{c}` {E.SPARK[k]}" for c, k in kinds.items())
-        return self.spark.createDataFrame([], f"{fields + ', ' if fields else ''}_ts bigint, _seq bigint")
+        # Catalyst sees that no row is there, and leaves out what would read it.
+        fields = [*((c, E.SPARK[k]) for c, k in kinds.items()), ("_ts", "bigint"), ("_seq", "bigint")]
+        return self.spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in fields]).limit(0)
 
     def keyed(self, rows: DataFrame, alias: str, name: str, kinds: dict[str, str], keys: list, numbers: list[bool]) -> DataFrame:
         """``rows`` with ``_k``, a hash of key expressions over them; equal numbers of either kind hash alike."""
@@ -202,6 +256,10 @@ class Keyed(Step):
         # A key is compared as a number if it is one on any side.
         shapes = [[self._number(c, a, k) for k in keys] for c, a, keys in inputs.values()]
         self.numbers = [any(x) for x in zip(*shapes)]
+        # Columns that two sides are joined by as they are.
+        fields = {n: [k.name for k in keys if isinstance(k, Col) and k.name in c.kinds] for n, (c, _, keys) in inputs.items()}
+        kinds = [[c.kinds[f] for f in fields[n]] for n, (c, _, _) in inputs.items()]
+        self.joined = fields if len(inputs) == 2 and kinds[0] == kinds[1] and len(kinds[0]) == len(self.numbers) > 0 else None
 
     def _number(self, child: Step, alias: str, key) -> bool:
         scope = E.Working(self.view.empty(child.kinds), {(alias, f): (f, k) for f, k in child.kinds.items()}, [alias])
@@ -218,26 +276,40 @@ class Keyed(Step):
         for name, (child, alias, keys) in self.inputs.items():
             rows = child.changes(batch, number)
             if rows is not None:
-                deltas[name] = self.view.keyed(net(rows), alias, name, child.kinds, keys, self.numbers).checkpoint()
+                self.stores[name].append(self.view.keyed(net(rows), alias, name, child.kinds, keys, self.numbers), number)
+                deltas[name] = self.stores[name].batch(number)
         if not deltas:
             return None
-        touched = None
-        for rows in deltas.values():
-            own = rows.select(KEY)
-            touched = own if touched is None else touched.union(own)
-        touched = touched.distinct()
-        before, after = {}, {}
+        touched = Touched(list(deltas.values()))
+        before, after, count = {}, {}, touched.rows
         for name, (child, _, _) in self.inputs.items():
+            # What is read here are batches of smaller numbers and the deltas, whenever it is read.
             held = self.stores[name].of(touched, number)
-            none = self.view.empty(child.kinds)
-            before[name] = bag(held).drop(KEY) if held is not None else none
-            parts = [x for x in (held, deltas.get(name)) if x is not None]
-            after[name] = bag(net(zset.plus(*parts))).drop(KEY) if parts else none
-        for name, rows in deltas.items():
-            self.stores[name].append(rows, number)
-        # What is read here are batches of smaller numbers, whenever it is read.
+            count += held[1] if held is not None else 0
+            before[name] = after[name] = self.view.empty(child.kinds)
+            if held is not None:
+                both = self._both(*held, deltas.get(name), touched)
+                before[name], after[name] = (bag(both.withColumnsRenamed({w: W, s: "_seq"})).select(before[name].columns) for w, s in (("_w0", "_s0"), ("_w1", "_s1")))
+            elif name in deltas:
+                after[name] = bag(deltas[name]).drop(KEY)
+        if self.joined and touched.even:
+            # A task's share of a join doesn't grow with the view; an uneven one is left to Spark, which splits large partitions.
+            before, after = ({n: dealt(df, count, self.joined[n]) for n, df in rows.items()} for rows in (before, after))
         return difference(self.result(after), self.result(before))
 
+    def _both(self, held: DataFrame, count: int, delta: DataFrame | None, touched: Touched) -> DataFrame:
+        """Each row once, with its weights and arrival numbers before and after the batch."""
+        none = F.lit(None).cast("bigint")
+        rows = held.withColumnsRenamed({W: "_w0", "_seq": "_s0"}).withColumn("_dw", none).withColumn("_ds", none)
+        if delta is not None:
+            rows = rows.unionByName(delta.withColumnsRenamed({W: "_dw", "_seq": "_ds"}).withColumn("_w0", none).withColumn("_s0", none))
+            count += touched.rows
+        w0, added = F.coalesce(F.sum("_w0"), F.lit(0)), F.coalesce(F.sum("_dw"), F.lit(0))
+        by = identity(held)
+        summed = dealt(rows, count, by).groupBy(*[F.col(f"`{c}`") for c in by]).agg(w0.alias("_w0"), (w0 + added).alias("_w1"), F.max("_s0").alias("_s0"), F.max("_ds").alias("_ds"))
+        kept = summed.filter("_w0 > 0 or _w1 > 0").withColumn("_s1", F.greatest(F.when(F.col("_w0") != 0, F.col("_s0")), F.col("_ds")))
+        return kept.drop(KEY, "_ds").checkpoint()  # read twice
+
 
 class Latest(Step):
     """LATEST BY: the store holds the current rows alone."""
@@ -262,16 +334,17 @@ class Latest(Step):
         numbers = [False] * len(self.q.latest_by)
         typed = rows.select(*[f"`{c}`" for c in names], weight.alias(W), *flags)
         keyed = self.view.keyed(typed, alias, "_in", child.kinds, self.q.latest_by, numbers).checkpoint()
-        touched = keyed.select(KEY).distinct()
-        held = self.store.of(touched, number)
-        held = held.checkpoint() if held is not None else None  # read once, used three times
-        asserted = net(keyed.filter("not _retract").drop("_retract") if flags else keyed)
+        touched = Touched([keyed])
+        found = self.store.of(touched, number)
+        held = net(dealt(*found, identity(found[0]))).checkpoint() if found is not None else None  # read once, used three times
+        asserted = keyed.filter("not _retract").drop("_retract") if flags else keyed
         before = bag(held).drop(KEY) if held is not None else self.view.empty(child.kinds)
-        left = bag(net(zset.plus(held, asserted)) if held is not None else asserted).drop(KEY)
+        every, count = (zset.plus(held, asserted), found[1]) if held is not None else (asserted, 0)
+        left = bag(net(dealt(every, count + touched.rows, identity(every)))).drop(KEY)
         if flags:
             left = left.withColumn("_retract", F.lit(False)).unionByName(keyed.filter("_retract").drop(W, KEY))
         after = self.view.run(self.current, {"_in": (left, child.kinds)}).df.checkpoint()
-        change = difference(after, before)
+        change = net(difference(after, before))
         show = lambda df: self.view.run(self.shown, {"_in": (df, child.kinds)}).df
         self.store.append(self.view.keyed(change, alias, "_in", child.kinds, self.q.latest_by, numbers), number)
         return difference(show(after), show(before))
@@ -429,8 +502,7 @@ class Maintained:
         if found is None:
             return self.view.empty(self.kinds).drop("_seq").withColumn(W, F.lit(0).cast("bigint"))
         out = found.withColumn("_seq", F.lit(0).cast("bigint"))
-        out = out if isinstance(self.step, (Keyed, Latest)) else net(out)
-        kept = out.withColumn(KEY, F.xxhash64(*names)).checkpoint()
+        kept = net(out).withColumn(KEY, F.xxhash64(*names)).checkpoint()
         self.result.append(kept, number)
         return kept.select(*names, W)
 
@@ -439,7 +511,7 @@ class Maintained:
         rows = self.result.read()
         if rows is None:
             return self.view.empty(self.kinds).select(*[f"`{c}`" for c in self.kinds])
-        return bag(net(rows.drop("_b"))).select(*[f"`{c}`" for c in self.kinds])
+        return bag(net(dealt(rows.drop("_b"), self.result.count(), [KEY]))).select(*[f"`{c}`" for c in self.kinds])
 
     def follow(self, streams: dict[str, DataFrame], checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
         """Applies what streams of base relations hold, one after another, micro-batch by micro-batch."""

@@ -144,3 +144,18 @@ def test_views_follow_streams(spark, tmp_path):
     view, seen = engine(spark, {}).maintain("SELECT symbol, SUM(qty) AS s FROM trades GROUP BY symbol"), []
     view.follow({"trades": stream}, f"{tmp_path}/log", lambda out, n: seen.append((n, out.count())))
     assert bag(view.snapshot().collect()) == [("a", 3), ("b", 6)] and len(seen) == 3
+
+
+def test_tasks_of_a_joined_view_are_as_many_as_its_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(maintain, "ROWS", 8, raising=False)
+    sql = "SELECT t.symbol AS s, t.qty AS q, n.tag AS tag FROM trades t FULL JOIN names n ON t.symbol = n.symbol"
+    view = engine(spark, {}).maintain(sql)
+    first = {"trades": [(f"s{k}", 1.0, k, 0, k, 1) for k in range(40)], "names": [(f"s{k}", "x", 0, k, 1) for k in range(20, 60)]}
+    second = {"trades": [(f"s{k}", 1.0, k, 0, 100 + k, -1) for k in range(0, 40, 2)]}
+    make = lambda rows: {n: spark.createDataFrame(r, SCHEMAS[n]) for n, r in rows.items()}
+    view.apply(make(first))
+    # 20 rows come: the joins before and after the batch have 3 tasks each.
+    assert view.step.changes(make(second), 1).rdd.getNumPartitions() >= 6
+    view.apply(make(second), 1)
+    want = engine(spark, {"trades": first["trades"] + second["trades"], "names": first["names"]}).query(sql)
+    assert bag(view.snapshot().collect()) == bag(want.collect()) and len(want.collect()) == 50
