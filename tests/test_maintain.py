@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from sluice.plans import maintain
+from sluice.plans import maintain, views
 from sluice.plans.engine import Engine
 
 TRADES = "symbol string, price double, qty long, _ts long, _seq long, _weight long"
@@ -159,3 +161,16 @@ def test_tasks_of_a_joined_view_are_as_many_as_its_rows_ask_for(spark, monkeypat
     view.apply(make(second), 1)
     want = engine(spark, {"trades": first["trades"] + second["trades"], "names": first["names"]}).query(sql)
     assert bag(view.snapshot().collect()) == bag(want.collect()) and len(want.collect()) == 50
+
+
+def test_cuts_are_those_of_ntile_and_no_task_orders_the_events(spark, tmp_path):
+    rng = random.Random(3)
+    for n, nulls, spread in ((0, 0, 1), (1, 0, 1), (2, 0, 5), (100, 0, 100), (101, 40, 1 << 40), (5000, 7, 1 << 20), (9000, 0, 9000)):
+        numbers = [x - spread // 3 for x in rng.sample(range(max(n, spread)), n)]
+        rows = spark.createDataFrame([(x,) for x in [*numbers, *[None] * nulls]], "x long")
+        tile = sum((F.coalesce(F.col("x") > c, F.lit(False)).cast("int") for c in views.cuts(rows, "x", 3)), F.lit(1))
+        assert rows.select(tile.alias("t"), F.ntile(3).over(Window.orderBy("x")).alias("w")).filter("t != w").count() == 0, n
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/events.parquet")
+    plan = views._events_in_batches(spark, f"file://{tmp_path}")["ev"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
