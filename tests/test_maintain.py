@@ -174,3 +174,15 @@ def test_cuts_are_those_of_ntile_and_no_task_orders_the_events(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/events.parquet")
     plan = views._events_in_batches(spark, f"file://{tmp_path}")["ev"]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_a_grouped_view_is_read_and_netted_in_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(maintain, "ROWS", 8, raising=False)
+    view = engine(spark, {}).maintain("SELECT symbol, SUM(qty) AS s FROM trades GROUP BY symbol")
+    rows = [(f"s{k}", 1.0, k, 0, k, 1) for k in range(60)]
+    for _ in range(2):
+        view.apply({"trades": spark.createDataFrame(rows, TRADES)})
+    # The view's log has 60 rows of the first batch and 60 or 120 of the second.
+    assert view.snapshot().rdd.getNumPartitions() >= 15
+    # s0 has 0 either way.
+    assert bag(view.snapshot().collect()) == bag((f"s{k}", 2 * k) for k in range(60))
