@@ -306,7 +306,8 @@ class Keyed(Step):
             count += touched.rows
         w0, added = F.coalesce(F.sum("_w0"), F.lit(0)), F.coalesce(F.sum("_dw"), F.lit(0))
         by = identity(held)
-        summed = dealt(rows, count, by).groupBy(*[F.col(f"`{c}`") for c in by]).agg(w0.alias("_w0"), (w0 + added).alias("_w1"), F.max("_s0").alias("_s0"), F.max("_ds").alias("_ds"))
+        # By the key, if none has many rows: a group's rows meet before they are summed.
+        summed = dealt(rows, count, [KEY] if touched.even else by).groupBy(*[F.col(f"`{c}`") for c in by]).agg(w0.alias("_w0"), (w0 + added).alias("_w1"), F.max("_s0").alias("_s0"), F.max("_ds").alias("_ds"))
         kept = summed.filter("_w0 > 0 or _w1 > 0").withColumn("_s1", F.greatest(F.when(F.col("_w0") != 0, F.col("_s0")), F.col("_ds")))
         return kept.drop(KEY, "_ds").checkpoint()  # read twice
 

@@ -186,3 +186,9 @@ def test_a_grouped_view_is_read_and_netted_in_as_many_tasks_as_its_rows_ask_for(
     assert view.snapshot().rdd.getNumPartitions() >= 15
     # s0 has 0 either way.
     assert bag(view.snapshot().collect()) == bag((f"s{k}", 2 * k) for k in range(60))
+
+
+def test_a_side_without_rows_is_seen_to_be_empty(spark):
+    none = engine(spark, {}).maintain("SELECT symbol FROM trades").view.empty({"symbol": "string", "qty": "long"})
+    assert none.dtypes == [("symbol", "string"), ("qty", "bigint"), ("_ts", "bigint"), ("_seq", "bigint")]
+    assert none._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation" and none.count() == 0
